@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickline.llm import media, mixing, quality, tokenfiles, toxicity
+from tickline.llm import langid, media, mixing, quality, tokenfiles, toxicity
 from tickline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -40,6 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_media": op5_media,
+    "op7_language": op7_language,
     "op10_token_files": op10_token_files,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
