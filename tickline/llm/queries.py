@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickline.llm import langid, media, mixing, quality, tokenfiles, toxicity
+from tickline.llm import langid, media, mixing, neardup, quality, tokenfiles, toxicity
 from tickline.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_media": op5_media,
     "op7_language": op7_language,
     "op10_token_files": op10_token_files,
