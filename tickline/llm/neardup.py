@@ -3,9 +3,11 @@
 Documents with equal shingle sets form a class, stood for by its smallest id. Class representatives have
 ``BANDS`` x rows minima of multiply-shift hashes; a band's minima name a bucket, and two sets of the threshold's
 similarity share none with a chance below one in a million. Inside a bucket no pairs are listed: its members are
-held against one pivot, then, where the bucket still holds more than one component, against pivots chosen anew,
-and last against the members of the bucket's other components. Pairs whose signatures are far below the
-threshold go; every other pair is confirmed on the full sets. Links become components by alternating
+held against one pivot, then, where the bucket still holds more than one component, against pivots chosen anew.
+Last, for members of buckets that are still open, shingles that no other such member has are counted: they bound
+the similarity that two sets can reach, and only members of different components whose bound allows a link are
+held against each other. Pairs whose signatures are far below the threshold go; every other pair is confirmed on
+the full sets. Links become components by alternating
 large-star and small-star steps on stored edge tables.
 
 Cases: a document without words (or null) has an empty set, size 0, and is alone; with fewer words than a
@@ -28,7 +30,7 @@ from tickline.llm.common import Memo, restrict, slices, stored
 
 BANDS = 30
 MISS = 1e-6
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -127,6 +129,28 @@ def signed(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, buckets array<long>, sig binary")
 
 
+def allowed(open_rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The open rows (bucket, rep, component) with n and u: set size and shingles of no other open member.
+
+    Two sets share at most min(n - u, n' - u') shingles. Members that cannot reach the threshold with any set go.
+    """
+    per_mille = round(threshold * 1000)
+
+    def run(batches):
+        memo = _memo()
+        for batch in batches:
+            for part in slices(batch, 64, 300_000):
+                sets = [shingles(word_hashes(t, memo), k) for t in part.column(1).to_pylist()]
+                n = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "s"])
+
+    ids = open_rows.select("rep").distinct()
+    rows = restrict(texts, ids, "rep").select("rep", "text").mapInArrow(run, "rep long, s long").distinct()
+    rare = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    sizes = stored(rows.groupBy("rep").agg(F.count("*").alias("n")).join(rare, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), "near-bounds")
+    return open_rows.join(sizes.filter(1000 * (F.col("n") - F.col("u")) >= per_mille * F.col("n")), "rep")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """The distinct pairs (a, b) whose full sets reach the threshold; the signatures sort out hopeless ones first."""
     per_mille = round(threshold * 1000)
@@ -135,7 +159,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, thres
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in (2, 3))
-                yield b.filter(pa.array((x == y).mean(1) >= threshold - 0.2)).select([0, 1])
+                yield b.filter(pa.array((x == y).mean(1) >= threshold - 6 * (threshold * (1 - threshold) / x.shape[1]) ** 0.5)).select([0, 1])
 
     sigs = reps.select("rep", "sig")
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
@@ -199,10 +223,16 @@ def linked(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         pivot = at.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         if turn < PIVOT_ROUNDS:
             pairs = at.join(pivot.select("bucket", F.col("p.rep").alias("a"), F.col("p.component").alias("ca")), "bucket").filter("component <> ca").select("a", F.col("rep").alias("b"))
-        else:  # what is left: few members stand outside their bucket's components
-            open_rows = stored(at.join(pivot.select("bucket"), "bucket"), "near-open")
-            other = open_rows.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = open_rows.join(other, "bucket").filter("component < cb").select(F.col("rep").alias("a"), "b")
+        else:
+            open_rows = stored(at.join(pivot.select("bucket"), "bucket").select("bucket", "rep", "component"), "near-open")
+            if open_rows.isEmpty():
+                break
+            open_rows = stored(allowed(open_rows, texts, k, threshold), "near-allowed")
+            other = open_rows.toDF(*(f"{c}2" for c in open_rows.columns))
+            most = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))
+            can = 1000 * most >= round(threshold * 1000) * (F.col("n") + F.col("n2") - most)
+            pairs = open_rows.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("component") < F.col("component2")) & can)
+            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         if pairs.isEmpty():
             break
