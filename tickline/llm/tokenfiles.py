@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickline.llm.common import Memo, shared_dir, stored
 
 MAGIC = b"TKRP0001"
-FIRST, LAST, ROUNDS, PER_ROUND, RARE = 50_257, 65_536, 4, 4_000, 12
+FIRST, LAST, ROUNDS, PER_ROUND, RARE = 50_257, 65_536, 3, 5_000, 12
 SLOT_BITS = 18
 SHARD_IDS = 4_000_000
 END = 0
@@ -43,12 +43,12 @@ _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u202
 class LibraryEncoder:
     """Whole texts by the tokenizers library, keeping what it gave for stretches between spaces.
 
-    The split pattern never joins a space with what precedes it unless that is white space too. So where no
-    space of a text touches other white space, the text's ids are those of its stretches, each with its space,
+    The split pattern never joins white space with what precedes it unless that is white space too. So where a
+    text's white space is single spaces and line ends, its ids are those of its stretches, each with its space,
     and every distinct stretch goes through the library once while it is kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -65,14 +65,15 @@ class LibraryEncoder:
         self.rows, self.ids, self.ends = Memo(self._learn, 1 << 62), array("H"), array("q", [0])
 
     def _learn(self, key: str) -> int:
-        """Encode a stretch: ``key`` follows a space unless it starts with a line end, which marks a text's first."""
-        first = key[0] == "\n"
-        word = key.rstrip(SIGNS)
+        """Encode a stretch: ``key`` follows a space, or a line end that it begins with, or (return) begins a text."""
+        lead = key[0] if key[0] in "\n\r" else ""
+        word = key[len(lead) :].rstrip(SIGNS)
         if word.isalpha():  # a match of the pattern: straight to the library's merges; signs behind it are a match too
-            ids = [t.id for t in self.lib.model.tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)))]
-            ids += self.signs[key[len(word) :]]
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.signs["\n"] if lead == "\n" else []
+            ids = ids + [t.id for t in self.lib.model.tokenize(mapped if lead else "\u0120" + mapped)] + self.signs[key[len(lead) + len(word) :]]
         else:
-            ids = self.lib.encode(key[1:] if first else " " + key, add_special_tokens=False).ids
+            ids = self.lib.encode(key[1:] if lead == "\r" else key if lead else " " + key, add_special_tokens=False).ids
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
         return len(self.ends) - 2
@@ -82,11 +83,11 @@ class LibraryEncoder:
             self.forget()
         rows = []
         for t in texts:
-            if t == "" or "  " in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or _RARE_SPACE.search(t):
+            if t == "" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _RARE_SPACE.search(t):
                 rows.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint16))
                 continue
-            parts = t.split(" ")
-            parts[0] = "\n" + parts[0]
+            parts = t.replace("\n", " \n").split(" ")
+            parts[0] = "\r" + parts[0]
             rows.append(np.fromiter(map(self.rows.__getitem__, parts), np.int64, len(parts)))
         ids, ends = np.frombuffer(self.ids, np.uint16), np.frombuffer(self.ends, np.int64)
         out = []
