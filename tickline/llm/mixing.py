@@ -110,7 +110,8 @@ def _slots(spark, plan: list[tuple[str | None, int, float]]) -> DataFrame:
 
     before_row = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ordered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before_row), F.lit(0)))
-    return ordered.mapInPandas(place, "shard long, src long, turn long, block long, words long")
+    # dealt by block before the join, so that the join knows the slots' size, not that of the draws
+    return ordered.mapInPandas(place, "shard long, src long, turn long, block long, words long").repartition("src", "block")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
