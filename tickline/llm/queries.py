@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickline.llm import langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
+from tickline.llm import bpe, langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
 from tickline.llm.common import table
 
 
@@ -29,6 +29,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_bpe": op4_bpe,
     "op5_media": op5_media,
     "op7_language": op7_language,
     "op10_token_files": op10_token_files,
