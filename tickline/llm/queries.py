@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickline.llm import bpe, langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
+from tickline.llm import ann, bpe, langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
 from tickline.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op5_media": op5_media,
+    "op6_neighbours": op6_neighbours,
     "op7_language": op7_language,
     "op10_token_files": op10_token_files,
     "op8_quality": op8_quality,
