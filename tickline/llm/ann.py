@@ -3,8 +3,8 @@
 Vectors are dealt by their id's hash to shards of about ``SHARD`` rows, queries to blocks of about ``QUERIES``.
 Every shard meets every block: its forest has ``TREES`` arrays of ``BITS``-bit strings (signs against random
 hyperplanes through the shard's mean), each sorted. A query descends each tree to its longest prefix match; then all
-trees ascend together, a bit at a time, until the matching ranges hold ``SHARE`` times the shard's distinct vectors,
-repeats across trees counted. The union is measured exactly, in double precision, on the original vectors.
+trees ascend together, a bit at a time, until the matching ranges hold ``LEAST`` rows and ``SHARE`` times the shard's
+distinct vectors more, repeats across trees counted. The union is measured exactly, in double precision, on the original vectors.
 
 Equal vectors are one entry with their smallest ids, so a vector that a third of the rows share crowds nobody out.
 The given vectors are close to unstructured (the tenth neighbour lies at 0.8 times the median distance), which
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, SHARE = 64, 32, 0.6
+TREES, BITS, LEAST, SHARE = 64, 32, 1500, 0.55
 SHARD, QUERIES = 20_000, 2_000
 
 
@@ -44,10 +44,10 @@ class Forest:
         self.order = np.argsort(own, axis=1, kind="stable")
         self.sorted = np.take_along_axis(own, self.order, 1)
 
-    def candidates(self, queries: np.ndarray, share: float = SHARE):
+    def candidates(self, queries: np.ndarray, share: float = SHARE, least: int = LEAST):
         """For each query the rows of the ranges where the synchronous ascent ends."""
         q = codes(queries, self.mean)
-        want = share * len(self.x)
+        want = least + share * len(self.x)
         lo, hi = np.zeros((TREES, len(queries)), int), np.zeros((TREES, len(queries)), int)
         todo = np.arange(len(queries))
         for depth in range(BITS, -1, -1):
