@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -30,6 +31,8 @@ from tickline.llm.common import Memo, restrict, slices, stored
 
 BANDS = 30
 MISS = 1e-6
+CELLS = 64
+CHUNK = 1500
 PIVOT_ROUNDS = 2
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -130,9 +133,11 @@ def signed(docs: DataFrame, k: int, rows: int) -> DataFrame:
 
 
 def allowed(open_rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The open rows (bucket, rep, component) with n and u: set size and shingles of no other open member.
+    """The open rows (bucket, rep, component) with what bounds an overlap: n (set size), u (shingles of no other
+    open member), cells (the others counted in ``CELLS`` cells by hash), and all open buckets of the member.
 
-    Two sets share at most min(n - u, n' - u') shingles. Members that cannot reach the threshold with any set go.
+    Two sets share at most min(n - u, n' - u') shingles, and at most the sum of the cells' minima. Members that
+    cannot reach the threshold with any set go.
     """
     per_mille = round(threshold * 1000)
 
@@ -146,9 +151,47 @@ def allowed(open_rows: DataFrame, texts: DataFrame, k: int, threshold: float) ->
 
     ids = open_rows.select("rep").distinct()
     rows = restrict(texts, ids, "rep").select("rep", "text").mapInArrow(run, "rep long, s long").distinct()
-    rare = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    sizes = stored(rows.groupBy("rep").agg(F.count("*").alias("n")).join(rare, "rep", "left").select("rep", "n", F.coalesce("u", F.lit(0)).alias("u")), "near-bounds")
-    return open_rows.join(sizes.filter(1000 * (F.col("n") - F.col("u")) >= per_mille * F.col("n")), "rep")
+    rare = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1")
+    cell = F.pmod("s", F.lit(CELLS)).alias("cell")
+    both = rows.select("rep", cell, F.lit(1).alias("n"), F.lit(0).alias("u")).union(rare.select("rep", cell, F.lit(0).alias("n"), F.lit(1).alias("u")))
+    cells = both.groupBy("rep", "cell").agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
+    own = cells.groupBy("rep").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.map_from_entries(F.collect_list(F.struct("cell", (F.col("n") - F.col("u")).cast("int").alias("c")))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
+    own = stored(own.filter(1000 * (F.col("n") - F.col("u")) >= per_mille * F.col("n")).select("rep", "n", "u", counts.alias("cells")), "near-bounds")
+    return open_rows.join(own, "rep")
+
+
+def possible(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components whose bounds allow the threshold.
+
+    A bucket's members are dealt to chunks of about ``CHUNK``; two chunks meet in one group, so that no group holds
+    more than two chunks, whatever the bucket's size, and only pairs that pass leave it.
+    """
+    per_mille = round(threshold * 1000)
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    own = rows.join(sizes.filter("low < high").drop("low", "high"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    own = own.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+    groups = max(1, own.count() // 20_000)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, lo, hi), f in frame.groupby(["bucket", "lo", "hi"]):
+            rep, comp, n, u, chunk = (f[c].to_numpy() for c in ("rep", "component", "n", "u", "chunk"))
+            cells = np.stack(f["cells"].to_numpy()).astype(np.int32)
+            left, right = (np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi))
+            for i in left:
+                js = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (lo != hi))]
+                for bound in (lambda j, i=i: np.minimum(n[i] - u[i], n[j] - u[j]), lambda j, i=i: np.minimum(cells[i], cells[j]).sum(1)):
+                    most = bound(js)
+                    js = js[1000 * most >= per_mille * (n[i] + n[js] - most)]
+                out.append(np.stack([np.full(len(js), rep[i]), rep[js]], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    keyed = own.select("bucket", "lo", "hi", "chunk", "rep", "component", "n", "u", "cells", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(groups)).alias("g"))
+    return keyed.groupBy("g").applyInPandas(meet, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -228,11 +271,7 @@ def linked(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             if open_rows.isEmpty():
                 break
             open_rows = stored(allowed(open_rows, texts, k, threshold), "near-allowed")
-            other = open_rows.toDF(*(f"{c}2" for c in open_rows.columns))
-            most = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))
-            can = 1000 * most >= round(threshold * 1000) * (F.col("n") + F.col("n2") - most)
-            pairs = open_rows.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("component") < F.col("component2")) & can)
-            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            pairs = possible(open_rows, threshold)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         if pairs.isEmpty():
             break
