@@ -48,7 +48,7 @@ def measure(legs: DataFrame, quotes: DataFrame, suspensions: DataFrame, n_select
     own = own.join(sides, "leg_id", "left").join(n_selections, "market_id", "left")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     lines = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: F.coalesce(x["home_line"].cast("string"), F.lit("-")))))
-    at = lambda c: F.element_at(F.filter(c, lambda x: x["selection_id"] == F.col("selection_id")), 1)
+    at = lambda c: F.try_element_at(F.filter(c, lambda x: x["selection_id"] == F.col("selection_id")), F.lit(1))
     own = own.withColumns({"t": at("taken"), "c": at("closing")})
     q = lambda c: O.finish(O.devig_shin(F.transform(c, lambda x: 1 / x["odds"])))
     m = lambda c: O.finish(O.devig_multiplicative(F.transform(c, lambda x: 1 / x["odds"])))
