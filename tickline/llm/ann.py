@@ -100,8 +100,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates()
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")  # keys of both sides need one type
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     side = rows.select("vec_id", "vec", F.size("vec").alias("dim"), shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asks = queries.select("vec_id", "vec", F.size("vec").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"))
 
