@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from tickline.llm.common import slices
 
-KEEP = 400_000
+KEEP = 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -44,30 +44,24 @@ def merge_table(tokens: list[bytes]) -> pa.Table:
     return pa.table({"pair": left.astype(np.int64) << 20 | right, "rank": made})
 
 
+#: Positions stay dense. Pieces without a pair to contract leave the recursion with turn -1.
 ENCODE = """
 WITH RECURSIVE work(turn, piece, pos, id) AS (
     SELECT 0, piece, pos, id FROM start
     UNION ALL
-    SELECT turn + 1, piece, pos, CASE WHEN pos = spot THEN least_rank ELSE id END
+    SELECT CASE WHEN best IS NULL THEN -1 ELSE turn + 1 END, piece,
+           CASE WHEN pos > best % 1048576 THEN pos - 1 ELSE pos END,
+           CASE WHEN pos = best % 1048576 THEN (best // 1048576)::INTEGER ELSE id END
     FROM (
-        SELECT *, lag(pos) OVER (PARTITION BY piece ORDER BY pos) AS before
+        SELECT turn, piece, pos, id, min(rank::BIGINT * 1048576 + pos) OVER (PARTITION BY piece) AS best
         FROM (
-            SELECT turn, piece, pos, id, (best // 1048576)::INTEGER AS least_rank, (best % 1048576)::INTEGER AS spot
-            FROM (
-                SELECT turn, piece, pos, id, min(rank::BIGINT * 1048576 + pos) OVER (PARTITION BY piece) AS best
-                FROM (
-                    SELECT turn, piece, pos, id, id::BIGINT * 1048576 + lead(id) OVER (PARTITION BY piece ORDER BY pos) AS pair
-                    FROM work
-                ) LEFT JOIN merges USING (pair)
-            )
-            WHERE best IS NOT NULL
-        )
+            SELECT turn, piece, pos, id, id::BIGINT * 1048576 + lead(id) OVER (PARTITION BY piece ORDER BY pos) AS pair
+            FROM work WHERE turn >= 0
+        ) LEFT JOIN merges USING (pair)
     )
-    WHERE before IS DISTINCT FROM spot
+    WHERE best IS NULL OR pos <> best % 1048576 + 1
 )
-SELECT piece, list(id ORDER BY pos) AS ids
-FROM (SELECT piece, pos, id FROM work QUALIFY turn = max(turn) OVER (PARTITION BY piece))
-GROUP BY piece ORDER BY piece
+SELECT piece, list(id ORDER BY pos) AS ids FROM work WHERE turn = -1 GROUP BY piece ORDER BY piece
 """
 
 DECODE = """
