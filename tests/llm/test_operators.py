@@ -1,0 +1,251 @@
+"""The text operators on small hand-made tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from tickline.llm import ann, bpe, langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
+LONG = "word " * 30_000
+TEXTS = [None, "", "   ", "a b", "The quick brown fox jumps over the lazy dog today.", "The quick brown fox jumps over the lazy dog today.", LONG, "é ñ ü\n\ntab\there", "x" * 3000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else None, "s1" if i % 3 else None, len(t or ""), 1.0, "z") for i, t in enumerate(TEXTS)]
+    rows += [rows[4], (None, "no id here", None, None, 10, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_pii(spark, docs, empty):
+    mail, card = "Jane.Doe9@mail.example.com", "4539 1488 0343 6467"
+    texts = [f"Write {mail} or +1 (555) 123-4567.", f"{mail.lower()} paid with {card}; ip 10.2.33.144; password=abc123def", "Mrs. Maria Smith met Mr. Smith.", "nothing 12 here", None, ""]
+    own = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    out = {r.doc_id: r for r in pii.surrogate_texts(own).collect()}
+    assert out[3].text == texts[3] and out[4].text is None and out[5].text == "" and out[3].n_entities == 0
+    new = re.search(r"Write (\S+) or (\+1 \(\d{3}\) \d{3}-\d{4})\.", out[0].text)
+    assert new and new[1] != mail and new[1].endswith(".com") and new[2] != "+1 (555) 123-4567"
+    assert out[1].text.startswith(new[1].lower()), "one entity, one surrogate, in its own spelling"
+    number = re.search(r"paid with (\d{4} \d{4} \d{4} \d{4});", out[1].text)[1]
+    digits = [int(c) for c in number.replace(" ", "")][::-1]
+    assert number != card and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert all(0 <= int(x) <= 255 for x in re.search(r"ip (\S+);", out[1].text)[1].split(".")) and "abc123def" not in out[1].text and "password=" in out[1].text
+    names = re.match(r"Mrs\. (\w+) (\w+) met Mr\. (\w+)\.", out[2].text)
+    assert names and names[2] == names[3] and names[1].endswith("a") and "Smith" not in out[2].text
+    assert pii.surrogate_documents(docs).columns == docs.columns and pii.surrogate_documents(docs).count() == docs.count()
+    assert pii.surrogate_texts(empty).count() == 0
+
+
+def test_surrogates_collide_neither_with_each_other_nor_with_entities(spark):
+    ents = spark.range(150).select(F.lit("IP").alias("kind"), F.concat_ws(".", F.lit("9"), F.lit("8"), (F.col("id") % 9 + 1).cast("string"), (F.col("id") % 7 + 1).cast("string")).alias("norm")).distinct()
+    got = pii.surrogates(ents, "k").collect()
+    real = {r.norm for r in got}
+    assert len({r.surrogate for r in got}) == len(got) == len(real) and not real & {r.surrogate for r in got}
+
+
+def test_mixing(spark, docs, empty):
+    rows = mixing.mixed_sizes(docs).collect()
+    assert len(rows) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in rows)
+    size = {r.doc_id: r["size"] for r in rows}
+    assert size[0] == size[1] == size[2] == 0 and size[6] == 30_000
+    assert abs(sum(r.taken for r in rows) - sum(r["size"] for r in rows)) <= 2
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mixed_sizes(docs).collect()), key=str)
+    assert mixing.mixed_sizes(empty).count() == 0
+    plan = mixing.targets([("b", 10), ("a", 100), (None, 5), ("c", 1000)])
+    assert [p[0] for p in plan] == ["a", "b", "c", None] and abs(sum(p[2] for p in plan) - 1115) < 1e-6 and all(p[2] <= 3 * p[1] + 1e-9 for p in plan)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    n = np.arange(1000)
+    assert sorted(mixing.permuted(n, np.full(1000, 1000), np.full(1000, 7))) == n.tolist()
+
+
+def brute_components(rows, k, share):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 1000 * both >= share * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}, {i: len(s) for i, s in sets.items()}
+
+
+def test_near_duplicates(spark, docs, empty):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(4000)]
+    rows, n = [], 0
+    for size in (30, 80, 200):
+        base = list(rng.choice(words, size))
+        for copy in range(14):
+            own = list(base)
+            for _ in range(copy % 7):
+                own[int(rng.integers(size))] = str(rng.choice(words))
+            rows.append((n, " ".join(own)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "Two Words"), (n + 3, "two\twords")]
+    own = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    want, sizes = brute_components(rows, 3, 850)
+    got = neardup.near_duplicates(own).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.n_shingles for r in got} == sizes
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    kept = neardup.drop_near_duplicates(docs)
+    texts = Counter(r.text for r in kept.collect())
+    assert kept.columns == docs.columns and texts["The quick brown fox jumps over the lazy dog today."] == 1
+    assert neardup.near_duplicates(docs).count() == docs.count() and neardup.near_duplicates(empty).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300, 301)]
+    got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[301] == 300
+
+
+def test_bpe(spark, docs, empty):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(path))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.token_digests(docs, path, P.PATTERN).collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in got:
+        ids = lib.encode_ordinary(text[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+    assert len(got) == docs.count() and bpe.token_digests(empty, path, P.PATTERN).count() == 0
+
+
+def test_media(spark, docs, empty):
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = media.media_columns(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        p = media.payload_of(text[r.doc_id])
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.n_bytes) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len((text[r.doc_id] or "").encode()))
+    assert media.media_columns(empty).count() == 0
+
+
+def test_media_member_is_read_again_by_its_offset():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("0/7.png", media.encode_png(media.payload_of("hello"), 5))
+        member = z.infolist()[0]
+
+    class Broken(io.BytesIO):
+        def read(self, *a):
+            raise OSError("gone")
+
+    row = media.read_member(Broken(out.getvalue()), member, lambda: io.BytesIO(out.getvalue()))
+    assert row[0] == 7 and row[2].startswith(b"hello") and row[5] is None
+    cut = media.read_member(io.BytesIO(out.getvalue()[:40]), member, lambda: io.BytesIO(out.getvalue()[:40]))
+    assert cut[2] is None and cut[5]
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 16)).astype("float32")
+    x[5:25] = x[4]
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)] + [(700, None, "s"), (701, [0.0] * 16, "s"), (702, [float("nan")] + [1.0] * 15, "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+    got = ann.nearest(df).collect()
+    hit = 0
+    for q in range(0, 700, 100):
+        d = np.sqrt(np.square(x.astype(float) - x[q].astype(float)).sum(1))
+        want = [i for i in np.lexsort((np.arange(700), d)) if i != q][:10]
+        own = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
+        assert [k for k, _ in own] == list(range(1, 11))
+        hit += len({v for _, v in own} & set(want))
+    assert hit >= 0.9 * 70 and len(got) == 70
+    assert ann.nearest(df.filter("vec_id = 0")).count() == 0 and ann.nearest(df.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    got = tokenfiles.token_files(docs, P.path("byte_bpe_50k.json")).collect()
+    order = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    at = 0
+    for r, g in zip(order, sorted(got, key=lambda r: r.start), strict=True):
+        ids = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert tokenfiles.token_files(empty, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_grammar_round_trip():
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.choice([5, 6, 7, 50_000], n), 0).astype(np.uint16) for n in (0, 1, 900, 3000, 7, 7)] + [np.full(500, 9, np.uint16)]
+    data = tokenfiles.to_bytes(list(range(len(docs))), np.concatenate(docs), np.cumsum([len(d) for d in docs]))
+    shard = tokenfiles.Shard(data)
+    assert len(shard.rules) > 5 and len(data) < 2 * sum(map(len, docs)) + 4000
+    assert all((shard.ids(i) == d).all() for i, d in enumerate(docs)) and all((a == b).all() for a, b in zip(shard.all_ids(), docs, strict=True))
+    assert (tokenfiles.lengths(shard.rules)[tokenfiles.FIRST :] == shard.rule_lengths).all()
+
+
+def test_classifiers_on_held_out_rows(spark):
+
+    base = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    for run, target in ((quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")):
+        rows = run(d, labels).join(labels, "doc_id").filter("held_out").collect()
+        assert np.mean([r.predicted == r[target] for r in rows]) >= 0.9, target
+    rows = langid.languages(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows]) >= 0.95
+
+
+def test_classifiers_on_odd_rows(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (4, 1, 0), (99, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for labels in (none, some):
+        for run in (quality.quality_scores, toxicity.toxicity_scores):
+            rows = run(docs, labels).collect()
+            assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows) and run(empty, labels).count() == 0
+    rows = {r.doc_id: r for r in langid.languages(docs).collect()}
+    assert rows[0].lang_pred == rows[1].lang_pred == "und" and rows[4].lang_pred == "en" and langid.languages(empty).count() == 0
+
+
+def test_gradients_of_the_networks():
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) for k, v in langid.init(3).items()}
+    x, y = rng.integers(0, 256, (4, 5)), rng.integers(0, 3, 5)
+
+    def loss(q):
+        return -np.log(langid.positions(q, x)[:, np.arange(5), y]).mean()
+
+    for key, at in (("uf", (1, 2)), ("cb", (0, 3)), ("out", (2, 1)), ("xf", (int(x[1, 2]), 4))):
+        up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
+        up[key][at] += 1e-2
+        down[key][at] -= 1e-2
+        numeric = (loss(up) - loss(down)) / 2e-2
+        moved, state = {k: v.copy() for k, v in p.items()}, {}
+        langid.step(moved, state, x, y, 0.0, 1)
+        ours = state[key][0][at] / 0.1
+        assert abs(ours - numeric) <= 2e-3 + 0.05 * abs(numeric), (key, ours, numeric)

@@ -175,14 +175,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     holds what is taken of all of them.
     """
     _, taken = mix(docs)
-    spans = taken.groupBy("doc_id", "h", "turn", "begin", "size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "id")
+    span = F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans")
+    spans = taken.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_mh"), "turn", "begin", F.col("size").alias("_size")).agg(span).drop("turn", "begin")
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))).filter("_n = 1")
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["id"]) & (keyed["_h"] == spans["h"]))
+    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (keyed["_h"] == spans["_mh"]))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
-    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]) == F.col("size")
+    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
+    whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]) == F.col("_size")
     text = F.when(whole, F.col("text")).otherwise(part)
     new = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return joined.select(*[new[c].alias(c) if c in new else keyed[c] for c in docs.columns])

@@ -158,7 +158,8 @@ def pseudonymize(docs: DataFrame, key: str = "surrogate-key-1") -> tuple[DataFra
     maps = found.join(whole, ["kind", "m"]).groupBy("h", "h2").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("_map"), F.sort_array(F.collect_set("kind")).alias("_kinds"))
     maps = stored(maps, "pii-maps")
     own = marked.filter(has).withColumns({"_h": F.xxhash64("text"), "_h2": F.crc32(F.col("text").cast("binary"))})
-    joined = own.join(maps, (F.col("_h") == F.col("h")) & (F.col("_h2") == F.col("h2")))
+    maps = maps.withColumnsRenamed({"h": "_mh", "h2": "_mh2"})
+    joined = own.join(maps, (F.col("_h") == F.col("_mh")) & (F.col("_h2") == F.col("_mh2")))
     between = F.split("text", f"(?:{ANY})", -1)
     text = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.col("_m").alias("m")), lambda x: F.concat(x["b"], F.coalesce(F.element_at("_map", x["m"]), F.lit("")))), "")
     new = {"text": text}
