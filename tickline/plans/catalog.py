@@ -44,35 +44,36 @@ def us(c: Column | str) -> Column:
 _Q = ["selection_id", "book_id", "observed_us"]
 
 
-def _project(name: str, cols: dict[str, Column], sql: str) -> None:
+def _project(name: str, cols: Callable[..., dict[str, Column]], sql: str) -> None:
+    """``cols`` gets the odds, a probability and the odds' profit in hundredths; nothing is built before a session exists."""
+
     def f(v: Views) -> DataFrame:
-        return v.quotes.withColumn("observed_us", us("observed_at")).select(*_Q, *[c.alias(k) for k, c in cols.items()])
+        d = F.col("odds")
+        return v.quotes.withColumn("observed_us", us("observed_at")).select(*_Q, *[c.alias(k) for k, c in cols(d, F.lit(0.52), F.round((d - 1) * 100).cast("long")).items()])
 
     query(name, f"SELECT selection_id, book_id, epoch_us(observed_at) AS observed_us, {sql} FROM quotes")(f)
 
 
-d, q0 = F.col("odds"), F.lit(0.52)
 am = "CASE WHEN odds >= 2 THEN round((odds - 1) * 100) ELSE round(-100 / (odds - 1)) END"
-_project("p1_american_to_decimal", {"odds_back": r(O.american_to_decimal(O.decimal_to_american(d)))}, f"round(CASE WHEN {am} = -100 THEN 2.0 WHEN {am} > 0 THEN 1 + {am} / 100 ELSE 1 - 100.0 / {am} END, 6) AS odds_back")
-_project("p2_decimal_to_american", {"american": O.decimal_to_american(d)}, f"CAST(CASE WHEN {am} = -100 THEN 100 ELSE {am} END AS BIGINT) AS american")
-_project("p3_probabilities", {"prob": r(O.decimal_to_prob(d), 9), "odds_back": r(O.prob_to_decimal(O.decimal_to_prob(d)), 9)}, "round(1 / odds, 9) AS prob, round(1 / (1 / odds), 9) AS odds_back")
+_project("p1_american_to_decimal", lambda d, q0, _c: {"odds_back": r(O.american_to_decimal(O.decimal_to_american(d)))}, f"round(CASE WHEN {am} = -100 THEN 2.0 WHEN {am} > 0 THEN 1 + {am} / 100 ELSE 1 - 100.0 / {am} END, 6) AS odds_back")
+_project("p2_decimal_to_american", lambda d, q0, _c: {"american": O.decimal_to_american(d)}, f"CAST(CASE WHEN {am} = -100 THEN 100 ELSE {am} END AS BIGINT) AS american")
+_project("p3_probabilities", lambda d, q0, _c: {"prob": r(O.decimal_to_prob(d), 9), "odds_back": r(O.prob_to_decimal(O.decimal_to_prob(d)), 9)}, "round(1 / odds, 9) AS prob, round(1 / (1 / odds), 9) AS odds_back")
 _cents = "CAST(round((odds - 1) * 100) AS BIGINT)"
-_project("p4_fraction", {"num": O.fraction(d)["num"], "den": O.fraction(d)["den"]}, f"{_cents} // gcd({_cents}, 100) AS num, 100 // gcd({_cents}, 100) AS den")
-_c = F.round((d - 1) * 100).cast("long")
-_project("p5_reduce_fraction", {"num": (_c / O.gcd(_c, F.lit(100))).cast("long"), "odds_back": r(1 + _c / F.lit(100.0))}, f"{_cents} // gcd({_cents}, 100) AS num, round(1 + {_cents} / 100.0, 6) AS odds_back")
+_project("p4_fraction", lambda d, q0, _c: {"num": O.fraction(d)["num"], "den": O.fraction(d)["den"]}, f"{_cents} // gcd({_cents}, 100) AS num, 100 // gcd({_cents}, 100) AS den")
+_project("p5_reduce_fraction", lambda d, q0, _c: {"num": (_c / O.gcd(_c, F.lit(100))).cast("long"), "odds_back": r(1 + _c / F.lit(100.0))}, f"{_cents} // gcd({_cents}, 100) AS num, round(1 + {_cents} / 100.0, 6) AS odds_back")
 _project(
-    "p6_render_odds", {"american": O.render_american(d), "percent": F.concat(F.format_string("%.1f", F.round(100 / d, 1)), F.lit("%"))},
+    "p6_render_odds", lambda d, q0, _c: {"american": O.render_american(d), "percent": F.concat(F.format_string("%.1f", F.round(100 / d, 1)), F.lit("%"))},
     f"CASE WHEN {am} = -100 THEN '+100' WHEN {am} > 0 THEN '+' || CAST({am} AS BIGINT)::VARCHAR ELSE CAST({am} AS BIGINT)::VARCHAR END AS american, printf('%.1f', round(100 / odds, 1)) || '%' AS percent",
 )
-_project("p7_ev", {"ev_percent": r(O.ev(q0, d) * 100)}, "round((0.52::DOUBLE * odds - 1) * 100, 6) AS ev_percent")
-_project("p8_edge", {"edge_percent": r(O.edge(q0, d) * 100)}, "round((0.52::DOUBLE / (1 / odds) - 1) * 100, 6) AS edge_percent")
-_project("p9_breakeven", {"breakeven": r(1 / d), "min_decimal": r(F.lit(1.02) / (1 / d) * 1.0)}, "round(1 / odds, 6) AS breakeven, round(1.02::DOUBLE / (1 / odds), 6) AS min_decimal")
+_project("p7_ev", lambda d, q0, _c: {"ev_percent": r(O.ev(q0, d) * 100)}, "round((0.52::DOUBLE * odds - 1) * 100, 6) AS ev_percent")
+_project("p8_edge", lambda d, q0, _c: {"edge_percent": r(O.edge(q0, d) * 100)}, "round((0.52::DOUBLE / (1 / odds) - 1) * 100, 6) AS edge_percent")
+_project("p9_breakeven", lambda d, q0, _c: {"breakeven": r(1 / d), "min_decimal": r(F.lit(1.02) / (1 / d) * 1.0)}, "round(1 / odds, 6) AS breakeven, round(1.02::DOUBLE / (1 / odds), 6) AS min_decimal")
 _k = "CASE WHEN 0.52::DOUBLE * odds <= 1 THEN 0.0 ELSE least((0.52::DOUBLE * odds - 1) / (odds - 1), 1.0) END"
-_project("p10_kelly", {"kelly": r(O.kelly(q0, d)), "fractional": r(O.kelly(q0, d) * 0.25)}, f"round({_k}, 6) AS kelly, round({_k} * 0.25, 6) AS fractional")
-_project("p11_growth_rate", {"growth": r(O.growth_rate(q0, d, F.lit(0.02)), 9)}, "round(0.52::DOUBLE * ln(1 + 0.02::DOUBLE * (odds - 1)) + 0.48::DOUBLE * ln(1 - 0.02::DOUBLE), 9) AS growth")
+_project("p10_kelly", lambda d, q0, _c: {"kelly": r(O.kelly(q0, d)), "fractional": r(O.kelly(q0, d) * 0.25)}, f"round({_k}, 6) AS kelly, round({_k} * 0.25, 6) AS fractional")
+_project("p11_growth_rate", lambda d, q0, _c: {"growth": r(O.growth_rate(q0, d, F.lit(0.02)), 9)}, "round(0.52::DOUBLE * ln(1 + 0.02::DOUBLE * (odds - 1)) + 0.48::DOUBLE * ln(1 - 0.02::DOUBLE), 9) AS growth")
 _h = "CASE WHEN role = 'away' AND market_type = 'spread' THEN CASE WHEN line = 0 THEN 0.0 ELSE -line END ELSE line END"
-_project("p12_home_frame_line", {"home_line": O.home_frame(F.col("role"), F.col("market_type"), F.col("line"))}, f"{_h} AS home_line")
-_project("p13_teased_line", {"teased": O.teased(F.col("role"), F.col("line"), F.lit(6.0))}, "CASE WHEN role = 'over' THEN line - 6 ELSE line + 6 END AS teased")
+_project("p12_home_frame_line", lambda d, q0, _c: {"home_line": O.home_frame(F.col("role"), F.col("market_type"), F.col("line"))}, f"{_h} AS home_line")
+_project("p13_teased_line", lambda d, q0, _c: {"teased": O.teased(F.col("role"), F.col("line"), F.lit(6.0))}, "CASE WHEN role = 'over' THEN line - 6 ELSE line + 6 END AS teased")
 
 
 @query("p14_payout", """SELECT wager_id, CAST(CASE rounding WHEN 'half_even' THEN round_even(stake_minor * 1.875::DOUBLE, 0) WHEN 'half_away' THEN round(stake_minor * 1.875::DOUBLE) ELSE trunc(stake_minor * 1.875::DOUBLE) END AS BIGINT) AS payout_minor,
@@ -92,14 +93,17 @@ def p15(v: Views) -> DataFrame:
 
 
 NOW = "TIMESTAMP '1996-08-01 00:00:00'"
-_now = F.lit("1996-08-01 00:00:00").cast("timestamp")
+
+
+def _now() -> Column:
+    return F.lit("1996-08-01 00:00:00").cast("timestamp")
 
 
 @query("p16_time_to_start_tier", f""", t AS (SELECT league_id, (epoch_us(scheduled_start) - epoch_us({NOW})) / 1000000.0 AS s FROM games),
 k AS (SELECT league_id, CASE WHEN s <= 0 THEN 1 WHEN s <= 1800 THEN 2 WHEN s <= 43200 THEN 3 WHEN s <= 604800 THEN 4 ELSE 5 END AS rank FROM t)
 SELECT league_id, min(rank) AS rank, count(*) AS events FROM k GROUP BY league_id""")
 def p16(v: Views) -> DataFrame:
-    s = O.age_seconds(F.col("scheduled_start"), _now)
+    s = O.age_seconds(F.col("scheduled_start"), _now())
     return v.games.select("league_id", O.tier_rank(O.tier(s)).cast("int").alias("rank")).groupBy("league_id").agg(F.min("rank").alias("rank"), F.count("*").alias("events"))
 
 
@@ -108,7 +112,7 @@ def p16(v: Views) -> DataFrame:
 
 @query("f1_board_events", f"SELECT event_id, league_id, status, epoch_us(scheduled_start) AS start_us FROM games WHERE status IN ('scheduled', 'live') AND scheduled_start < {NOW}")
 def f1(v: Views) -> DataFrame:
-    return v.games.filter(F.col("status").isin("scheduled", "live") & (F.col("scheduled_start") < _now)).select("event_id", "league_id", "status", us("scheduled_start").alias("start_us"))
+    return v.games.filter(F.col("status").isin("scheduled", "live") & (F.col("scheduled_start") < _now())).select("event_id", "league_id", "status", us("scheduled_start").alias("start_us"))
 
 
 @query("f2_search_competitor_prefix", "SELECT event_id, home, away FROM games WHERE starts_with(lower(home), lower('red')) OR starts_with(lower(away), lower('red'))")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
 from tickline.operators import clv, reads, steam, tickets
-from tickline.plans.catalog import _now, query, r, us
+from tickline.plans.catalog import query, r, us
 from tickline.plans.model import Views
 from tickline.sources import raw
 
 HALF = "TIMESTAMP '1996-01-01'"
-_half = F.lit("1996-01-01").cast("timestamp")
+
+
+def _half() -> Column:
+    return F.lit("1996-01-01").cast("timestamp")
+
 
 # ---- sources and table upkeep -------------------------------------------------------------------------------------
 
@@ -55,14 +59,14 @@ def s4(v: Views) -> DataFrame:
 def s6(v: Views) -> DataFrame:
     q = v.quotes
     batch = q.filter(F.col("observed_at") >= F.lit("1995-06-01").cast("timestamp"))
-    new = reads.append_new(q.filter(F.col("observed_at") < _half), batch.unionByName(batch.limit(100)), ["selection_id", "book_id", "observed_at"])
+    new = reads.append_new(q.filter(F.col("observed_at") < _half()), batch.unionByName(batch.limit(100)), ["selection_id", "book_id", "observed_at"])
     return new.agg(F.count("*").alias("appended"), F.countDistinct("selection_id").alias("selections"))
 
 
 @query("s7_upsert_catalogue", "SELECT selection_id, book_id, odds, epoch_us(observed_at) AS observed_us FROM latest")
 def s7(v: Views) -> DataFrame:
     q = v.quotes.select("selection_id", "book_id", "odds", "observed_at")
-    return reads.upsert_newest(q.filter(F.col("observed_at") < _half), q.filter(F.col("observed_at") >= _half), ["selection_id", "book_id"], "observed_at").select("selection_id", "book_id", "odds", us("observed_at").alias("observed_us"))
+    return reads.upsert_newest(q.filter(F.col("observed_at") < _half()), q.filter(F.col("observed_at") >= _half()), ["selection_id", "book_id"], "observed_at").select("selection_id", "book_id", "odds", us("observed_at").alias("observed_us"))
 
 
 @query("s8_apply_results", "SELECT event_id, CASE WHEN status = 'live' THEN 'final' ELSE status END AS status, CASE WHEN status = 'live' THEN home_score + 1 ELSE home_score END AS home_score FROM games")
@@ -173,7 +177,7 @@ def a5(v: Views) -> DataFrame:
 def w1(v: Views) -> DataFrame:
     from tickline.operators.pricing import newest
 
-    return newest(v.quotes.filter(F.col("observed_at") > _half)).select("selection_id", "book_id", "odds", us("observed_at").alias("observed_us"))
+    return newest(v.quotes.filter(F.col("observed_at") > _half())).select("selection_id", "book_id", "odds", us("observed_at").alias("observed_us"))
 
 
 @query("w4_dedupe_redelivery", "SELECT count(*) AS kept, sum(n) AS seen FROM (SELECT count(*) AS n FROM raw_quotes GROUP BY selection_id, book_id, observed_at)")
@@ -190,7 +194,7 @@ def w8(v: Views) -> DataFrame:
 
 @query("w9_user_wagers", "SELECT user_id, wager_id, stake_minor FROM tickets WHERE user_id % 10 = 3 AND placed_at >= TIMESTAMP '1996-01-01' ORDER BY placed_at DESC, wager_id DESC LIMIT 100")
 def w9(v: Views) -> DataFrame:
-    return v.tickets.filter((F.col("user_id") % 10 == 3) & (F.col("placed_at") >= _half)).orderBy(F.desc("placed_at"), F.desc("wager_id")).limit(100).select("user_id", "wager_id", "stake_minor")
+    return v.tickets.filter((F.col("user_id") % 10 == 3) & (F.col("placed_at") >= _half())).orderBy(F.desc("placed_at"), F.desc("wager_id")).limit(100).select("user_id", "wager_id", "stake_minor")
 
 
 @query("w10_list_dimensions", "SELECT league_id, count(*) AS markets, min(sport_id) AS sport_id FROM markets GROUP BY league_id")
@@ -229,7 +233,7 @@ def j5(v: Views) -> DataFrame:
 @query("j6_clv_worklist", "SELECT leg_id FROM legs WHERE taken_at >= TIMESTAMP '1996-01-01' AND taken_at < TIMESTAMP '1997-01-01' AND leg_id NOT IN (SELECT leg_id FROM legs WHERE book_id = 2)")
 def j6(v: Views) -> DataFrame:
     legs = v.legs
-    inside = legs.filter((F.col("taken_at") >= _half) & (F.col("taken_at") < F.lit("1997-01-01").cast("timestamp"))).select("leg_id")
+    inside = legs.filter((F.col("taken_at") >= _half()) & (F.col("taken_at") < F.lit("1997-01-01").cast("timestamp"))).select("leg_id")
     return inside.join(legs.filter("book_id = 2").select("leg_id"), "leg_id", "left_anti")
 
 
@@ -363,7 +367,7 @@ def a3(v: Views) -> DataFrame:
 
 @query("a4_ledger_sum_since", "SELECT user_id, CAST(-sum(stake_minor) AS BIGINT) AS total_minor, count(*) AS n FROM tickets WHERE placed_at >= TIMESTAMP '1996-01-01' AND stake_minor <> 0 GROUP BY user_id")
 def a4(v: Views) -> DataFrame:
-    own = tickets.stake_entries(v.tickets).filter((F.col("account_kind") == "cash") & (F.col("placed_at") >= _half))
+    own = tickets.stake_entries(v.tickets).filter((F.col("account_kind") == "cash") & (F.col("placed_at") >= _half()))
     return own.groupBy("user_id").agg(F.sum("amount_minor").alias("total_minor"), F.count("*").alias("n"))
 
 
