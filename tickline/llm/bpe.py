@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from tickline.llm.common import slices
 
-KEEP = 1_000_000
+KEEP = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -71,22 +71,23 @@ GROUP BY doc
 """
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-PIECES_A_QUERY, LONG_PIECE = 40_000, 400
+PIECES_A_QUERY, LONG_PIECE = 25_000, 400
 
 
 class Encoder:
-    """One task's database, and the ids of the pieces it has met (up to ``KEEP``)."""
+    """One task's database, and the ids of the pieces it has met (up to ``keep``)."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep: int = KEEP):
         import duckdb
         import regex
 
+        self.keep = keep
         self.tokens = read_ranks(path)
         self.rank = {t: i for i, t in enumerate(self.tokens)}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.names = [str(i) for i in range(len(self.tokens))]
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.register("given", merge_table(self.tokens))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.register("given", pa.table({"id": np.arange(len(self.tokens), dtype=np.int32), "hex": [t.hex() for t in self.tokens]}))
@@ -140,7 +141,7 @@ class Encoder:
         self.row.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.row) > KEEP:
+        if len(self.row) > self.keep:
             self.forget()
         cut = [self.split(t) for t in texts]
         new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in self.row))
@@ -175,9 +176,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, keep: int = KEEP) -> Encoder:
     """This Python worker's encoder; later tasks of the worker use it too."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, keep)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -192,13 +193,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids."""
+def token_digests(docs: DataFrame, path: str, pattern: str, keep: int = KEEP) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids.
+
+    ``keep`` bounds the pieces that a worker keeps (about 250 bytes each), not what it encodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 512, 3_000_000):
-                own = encoder(path, pattern)
+                own = encoder(path, pattern, keep)
                 ids = own.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(x) for x in ids], pa.int64()),
