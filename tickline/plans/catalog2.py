@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
-from tickline.operators import clv, reads, steam, tickets
-from tickline.plans.catalog import query, r, us
+from tickline.operators import clv, pricing, reads, steam, tickets
+from tickline.plans.catalog import REF_SQL, _reference, query, r, us
 from tickline.plans.model import Views
 from tickline.sources import raw
 
@@ -453,3 +453,80 @@ def t7(v: Views) -> DataFrame:
 def r2(v: Views) -> DataFrame:
     ch = F.array(*[F.concat(F.lit(f"{k}:"), F.col(f"{k}_id").cast("string")) for k in ("market", "event", "league")])
     return v.markets.select(F.explode(ch).alias("channel")).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+# ---- leaderboards and the rest ------------------------------------------------------------------------------------
+
+BOARD = GRADE + CLV_SQL + """, s AS (SELECT user_id, count(*) AS n, sum(stake_minor) AS st, sum(returned_minor - stake_minor) AS net FROM settled GROUP BY user_id),
+c AS (SELECT user_id, count(*) AS clv_samples, avg((qc / qt - 1) * 100) AS mean FROM m WHERE reason IS NULL AND NOT line_moved GROUP BY user_id),
+board AS (SELECT user_id, n AS settled_wagers, clv_samples, net::DOUBLE / st::DOUBLE AS roi, mean FROM s JOIN c USING (user_id) WHERE n >= 2 AND clv_samples >= 3)"""
+
+
+def _board(v: Views, by: str, limit: int) -> DataFrame:
+    fine = _samples(v).filter("NOT line_moved").groupBy("user_id").agg(F.count("*").alias("clv_samples"), F.avg("percent_clv").alias("mean_percent_clv"))
+    return clv.leaderboard(_decided(v), fine, by, limit, 2, 3)
+
+
+@query("a8_leaderboard_roi", BOARD + " SELECT user_id, settled_wagers, clv_samples, round(roi, 6) AS roi FROM board ORDER BY board.roi DESC, mean DESC, settled_wagers DESC, user_id LIMIT 50")
+def a8(v: Views) -> DataFrame:
+    return _board(v, "roi", 50).select("user_id", "settled_wagers", "clv_samples", r("roi").alias("roi"))
+
+
+@query("a9_leaderboard_clv", BOARD + " SELECT user_id, settled_wagers, clv_samples, round(mean, 6) AS mean_percent_clv FROM board ORDER BY mean DESC, board.roi DESC, settled_wagers DESC, user_id LIMIT 50")
+def a9(v: Views) -> DataFrame:
+    return _board(v, "clv", 50).select("user_id", "settled_wagers", "clv_samples", r("mean_percent_clv").alias("mean_percent_clv"))
+
+
+@query("k9_reprice_removed", GRADE + " SELECT wager_id, round(ln(eff), 9) AS log_effective FROM settled WHERE status = 'won' AND push > 0")
+def k9(v: Views) -> DataFrame:
+    own = _graded(v).groupBy("wager_id").agg(F.collect_list("odds").alias("all"), F.collect_list(F.when(F.col("result") == "push", F.col("odds"))).alias("gone"), F.count_if(F.col("result") == "lost").alias("lost"), F.count_if(F.col("result") == "won").alias("won"), F.count("*").alias("n"))
+    whole = own.join(v.legs.groupBy("wager_id").agg(F.count("*").alias("n_legs")), "wager_id").filter("n = n_legs AND lost = 0 AND won > 0 AND size(gone) > 0")
+    return whole.select("wager_id", r(F.log(F.greatest(tickets.product(F.col("all")) / tickets.product(F.col("gone")), F.lit(1.0))), 9).alias("log_effective"))
+
+
+@query("k16_slip_audit", "SELECT count(*) AS tickets, count(*) FILTER (WHERE n < 2) AS too_few, count(*) FILTER (WHERE n > 25) AS too_many, count(*) FILTER (WHERE d < n) AS duplicate_selection FROM (SELECT wager_id, count(*) AS n, count(DISTINCT selection_id) AS d FROM legs GROUP BY wager_id)")
+def k16(v: Views) -> DataFrame:
+    per = v.legs.groupBy("wager_id").agg(F.count("*").alias("n"), F.countDistinct("selection_id").alias("d"))
+    return per.agg(F.count("*").alias("tickets"), F.count_if(F.col("n") < 2).alias("too_few"), F.count_if(F.col("n") > 25).alias("too_many"), F.count_if(F.col("d") < F.col("n")).alias("duplicate_selection"))
+
+
+@query("w7_rank_steam", CAND + " SELECT epoch_us(ws) AS start_us, selection_id, direction FROM found WHERE abs(delta) >= 0.2 ORDER BY ws DESC, selection_id DESC LIMIT 30")
+def w7(v: Views) -> DataFrame:
+    own = _found(v).filter(F.abs("lead_delta") >= 0.2).orderBy(F.desc("window_end"), F.desc("selection_id")).limit(30)
+    return own.select(us("window_start").alias("start_us"), "selection_id", "direction")
+
+
+@query("j10_grant_credit", "SELECT wager_id, user_id, stake_minor AS amount_minor FROM tickets WHERE stake_minor <> 0 AND user_id % 20 = 0")
+def j10(v: Views) -> DataFrame:
+    own = tickets.stake_entries(v.tickets).filter("account_kind = 'escrow'").select("wager_id", "amount_minor")
+    return v.tickets.filter("user_id % 20 = 0").select("wager_id", "user_id").join(own, "wager_id").select("wager_id", "user_id", "amount_minor")
+
+
+@query("j14_leaderboard_join", BOARD + " SELECT user_id, settled_wagers, clv_samples FROM board")
+def j14(v: Views) -> DataFrame:
+    fine = _samples(v).filter("NOT line_moved").groupBy("user_id").agg(F.count("*").alias("clv_samples"))
+    settled = _decided(v).groupBy("user_id").agg(F.count("*").alias("settled_wagers"))
+    return settled.join(fine, "user_id").filter("settled_wagers >= 2 AND clv_samples >= 3").select("user_id", "settled_wagers", "clv_samples")
+
+
+@query("k13_cash_out_value", GRADE + REF_SQL + """, per AS (SELECT l.wager_id, count(*) FILTER (WHERE g.result IS NULL) AS n_open, count(f.fair_prob) FILTER (WHERE g.result IS NULL) AS n_fair, count(*) FILTER (WHERE g.result IS NOT NULL AND g.result <> 'won') AS dead
+    FROM legs l LEFT JOIN graded g USING (leg_id) LEFT JOIN fair f ON f.selection_id = l.selection_id GROUP BY l.wager_id)
+SELECT wager_id, n_open, TRUE AS below_payout FROM per WHERE n_open > 0 AND dead = 0 AND n_fair = n_open""")
+def k13(v: Views) -> DataFrame:
+    fair = pricing.fair_values(*_reference(v)).filter("NOT fallback")
+    offers = tickets.cash_out(v.tickets, v.legs, _graded(v), fair)
+    return offers.select("wager_id", "n_open", (F.col("offer_minor") < F.col("payout_minor")).alias("below_payout"))
+
+
+@query("k15_limits_in_force", """, x AS (SELECT wager_id, user_id, stake_minor, placed_at, lead(placed_at) OVER (PARTITION BY user_id ORDER BY placed_at, wager_id) AS superseded_at FROM tickets)
+SELECT wager_id, user_id, stake_minor FROM x WHERE placed_at <= TIMESTAMP '1996-01-01' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '1996-01-01')""")
+def k15(v: Views) -> DataFrame:
+    own = v.tickets.withColumn("superseded_at", F.lead("placed_at").over(Window.partitionBy("user_id").orderBy("placed_at", "wager_id")))
+    return own.filter((F.col("placed_at") <= _half()) & (F.col("superseded_at").isNull() | (F.col("superseded_at") > _half()))).select("wager_id", "user_id", "stake_minor")
+
+
+@query("t6_steam_thresholds", CAND + " SELECT count(*) AS examined, count(*) FILTER (WHERE followers >= 1) AS followed, count(*) FILTER (WHERE followers >= 1 AND corr >= 0.5) AS passed FROM cand")
+def t6(v: Views) -> DataFrame:
+    lead = _moves(v).filter(F.abs("delta") >= 0.05).select("window_start", "selection_id").distinct()
+    every = steam.candidates(_moves(v), max_lag=43200.0, min_correlation=-1.0)
+    return lead.agg(F.count("*").alias("examined")).crossJoin(every.agg(F.count("*").alias("followed"), F.count_if(F.col("correlation") >= 0.5).alias("passed")))
