@@ -23,7 +23,7 @@ def _half() -> Column:
 
 def _payloads(v: Views) -> DataFrame:
     """Provider payloads of the newest quotes, one JSON text a market."""
-    q = v.latest.filter("market_type <> 'moneyline' OR market_id % 2 = 0")
+    q = v.latest
     name = F.when(F.col("role") == "home", "Home").when(F.col("role") == "away", "Away").otherwise(F.initcap("role"))
     key = F.when(F.col("market_type") == "moneyline", "h2h").when(F.col("market_type") == "spread", "spreads").otherwise("totals")
     out = q.groupBy("market_id", "book_id").agg(F.first(key).alias("key"), F.max("observed_at").alias("at"), F.array_sort(F.collect_list(F.struct(name.alias("name"), F.col("odds").alias("price"), F.col("line").alias("point")))).alias("outcomes"))
@@ -33,12 +33,12 @@ def _payloads(v: Views) -> DataFrame:
     return own.select(F.when(F.col("market_id") % 50 == 7, F.lit("{broken")).otherwise(F.to_json(body)).alias("payload"))
 
 
-@query("s1_read_raw_odds", "SELECT CASE WHEN market_id % 50 = 7 THEN 'malformed' END AS reason, count(*) AS n FROM (SELECT DISTINCT market_id FROM latest WHERE market_type <> 'moneyline' OR market_id % 2 = 0) GROUP BY 1")
+@query("s1_read_raw_odds", "SELECT CASE WHEN market_id % 50 = 7 THEN 'malformed' END AS reason, count(*) AS n FROM (SELECT DISTINCT market_id FROM latest) GROUP BY 1")
 def s1(v: Views) -> DataFrame:
     return raw.read_payloads(_payloads(v)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("s2_normalize_quotes", "SELECT market_id::VARCHAR AS id, book_id::VARCHAR AS book, market_type, role, odds, line FROM latest WHERE (market_type <> 'moneyline' OR market_id % 2 = 0) AND market_id % 50 <> 7")
+@query("s2_normalize_quotes", "SELECT market_id::VARCHAR AS id, book_id::VARCHAR AS book, market_type, role, odds, line FROM latest WHERE market_id % 50 <> 7")
 def s2(v: Views) -> DataFrame:
     return raw.normalize(raw.read_payloads(_payloads(v))).filter("reason IS NULL").select("id", "book", "market_type", "role", "odds", "line")
 
@@ -108,7 +108,7 @@ def j3(v: Views) -> DataFrame:
 
 
 BACK = 900 * 86400.0
-SNAP = f""", asks AS (SELECT leg_id, side, market_id, book_id, CASE side WHEN 'taken' THEN taken_at ELSE close_at END AS as_of FROM (SELECT l.*, CASE WHEN status NOT IN ('scheduled', 'postponed') THEN scheduled_start END AS close_at FROM legs l JOIN games USING (event_id) WHERE wager_id % 10 = 0), (VALUES ('taken'), ('closing')) s(side)),
+SNAP = f""", asks AS (SELECT leg_id, side, market_id, book_id, CASE side WHEN 'taken' THEN taken_at ELSE close_at END AS as_of FROM (SELECT l.*, CASE WHEN status NOT IN ('scheduled', 'postponed') THEN scheduled_start END AS close_at FROM legs l JOIN games USING (event_id)), (VALUES ('taken'), ('closing')) s(side)),
 snaps AS (SELECT leg_id, side, a.market_id, q.selection_id, q.odds, q.line, q.role, q.market_type, q.observed_at FROM asks a JOIN quotes q ON a.market_id = q.market_id AND a.book_id = q.book_id
     WHERE q.observed_at <= as_of AND epoch_us(as_of) - epoch_us(q.observed_at) < {BACK:.0f}::BIGINT * 1000000 AND NOT EXISTS (SELECT 1 FROM suspensions s WHERE s.market_id = a.market_id AND q.observed_at >= suspended_at AND q.observed_at < lifted_at)
     QUALIFY row_number() OVER (PARTITION BY leg_id, side, q.selection_id ORDER BY q.observed_at DESC) = 1)"""
@@ -120,15 +120,13 @@ def _legs(v: Views) -> DataFrame:
 
 @query("j4_snapshot_as_of", SNAP + " SELECT leg_id, side, selection_id, odds, epoch_us(observed_at) AS observed_us FROM snaps")
 def j4(v: Views) -> DataFrame:
-    # as the SQL, for a tenth of the tickets: the set form itself has no bound
-    own = _legs(v).filter("wager_id % 10 = 0")
+    own = _legs(v)
     side = F.explode(F.array(F.struct(F.lit("taken").alias("side"), F.col("taken_at").alias("as_of")), F.struct(F.lit("closing").alias("side"), F.col("close_at").alias("as_of"))))
     asks = own.select("leg_id", "market_id", "book_id", side.alias("s")).select("leg_id", "market_id", "book_id", "s.*").filter("as_of IS NOT NULL")
     return clv.snapshot_as_of(asks, v.quotes, v.suspensions, BACK).select("leg_id", "side", "selection_id", "odds", us("observed_at").alias("observed_us"))
 
 
-SNAP_ALL = SNAP.replace(" WHERE wager_id % 10 = 0)", ")")
-CLV_SQL = SNAP_ALL + """, ns AS (SELECT market_id, count(DISTINCT selection_id) AS n FROM quotes GROUP BY market_id),
+CLV_SQL = SNAP + """, ns AS (SELECT market_id, count(DISTINCT selection_id) AS n FROM quotes GROUP BY market_id),
 sides AS (SELECT leg_id, side, count(*) AS n, sum(1 / odds) AS s, count(DISTINCT coalesce((CASE WHEN role = 'away' AND market_type = 'spread' THEN CASE WHEN line = 0 THEN 0.0 ELSE -line END ELSE line END)::VARCHAR, '-')) AS lines FROM snaps GROUP BY leg_id, side),
 m AS (SELECT l.leg_id, l.user_id, l.league_id, CASE WHEN status IN ('scheduled', 'postponed') THEN 'no_close' WHEN coalesce(t.n, 0) < ns.n THEN 'taken_incomplete' WHEN coalesce(c.n, 0) < ns.n THEN 'closing_incomplete' WHEN t.lines > 1 OR c.lines > 1 THEN 'incoherent_lines'
     WHEN ts.observed_at <> l.taken_at OR ts.odds <> l.odds THEN 'taken_quote_mismatch' WHEN ns.n <> 2 THEN 'not_priceable' END AS reason,
@@ -192,9 +190,9 @@ def w8(v: Views) -> DataFrame:
     return reads.page_after(v.games, [("scheduled_start", False), ("event_id", False)], [at, 50], 25).select("event_id", us("scheduled_start").alias("start_us"))
 
 
-@query("w9_user_wagers", "SELECT user_id, wager_id, stake_minor FROM tickets WHERE user_id % 10 = 3 AND placed_at >= TIMESTAMP '1996-01-01' ORDER BY placed_at DESC, wager_id DESC LIMIT 100")
+@query("w9_user_wagers", "SELECT user_id, wager_id, stake_minor FROM tickets WHERE user_id = 3 AND placed_at >= TIMESTAMP '1996-01-01' ORDER BY placed_at DESC, wager_id DESC LIMIT 100")
 def w9(v: Views) -> DataFrame:
-    return v.tickets.filter((F.col("user_id") % 10 == 3) & (F.col("placed_at") >= _half())).orderBy(F.desc("placed_at"), F.desc("wager_id")).limit(100).select("user_id", "wager_id", "stake_minor")
+    return v.tickets.filter((F.col("user_id") == 3) & (F.col("placed_at") >= _half())).orderBy(F.desc("placed_at"), F.desc("wager_id")).limit(100).select("user_id", "wager_id", "stake_minor")
 
 
 @query("w10_list_dimensions", "SELECT league_id, count(*) AS markets, min(sport_id) AS sport_id FROM markets GROUP BY league_id")
@@ -496,10 +494,10 @@ def w7(v: Views) -> DataFrame:
     return own.select(us("window_start").alias("start_us"), "selection_id", "direction")
 
 
-@query("j10_grant_credit", "SELECT wager_id, user_id, stake_minor AS amount_minor FROM tickets WHERE stake_minor <> 0 AND user_id % 20 = 0")
+@query("j10_grant_credit", "SELECT wager_id, user_id, stake_minor AS amount_minor FROM tickets WHERE stake_minor <> 0")
 def j10(v: Views) -> DataFrame:
     own = tickets.stake_entries(v.tickets).filter("account_kind = 'escrow'").select("wager_id", "amount_minor")
-    return v.tickets.filter("user_id % 20 = 0").select("wager_id", "user_id").join(own, "wager_id").select("wager_id", "user_id", "amount_minor")
+    return v.tickets.select("wager_id", "user_id").join(own, "wager_id").select("wager_id", "user_id", "amount_minor")
 
 
 @query("j14_leaderboard_join", BOARD + " SELECT user_id, settled_wagers, clv_samples FROM board")
