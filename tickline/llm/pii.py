@@ -4,7 +4,7 @@ Kinds: EMAIL, IP, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned s
 a title). An entity is its kind and normal form (lower-case; digits alone for numbers; a name is each of its
 words), so spellings of one entity share a surrogate. A surrogate replaces letters by letters and digits by digits
 at their places: vowels by vowels and other letters by other letters of the same script and case, and signs,
-lengths, the country code, the mail's top domain and a password's label stay. Numbers that pass the Luhn check get
+lengths, the country code, the mail's top domain and a password's label and quotes stay. Numbers that pass the Luhn check get
 surrogates that pass it; IP octets stay octets; titles and a name's last letter stay, and with them its gender.
 
 Surrogates come from SHA-256 of key, kind, normal form and draw number. Drawing goes on for entities whose
@@ -29,11 +29,15 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d
 CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\-]?\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?!\w)"
 COUNTRY = r"^\+(?:1(?=\d{10}$)|\d{1,3}[ .\-]|\d{1,3}(?=\()|\d{2}(?=\d{7,}$))"
-KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s?[=:]\s?[A-Za-z0-9_\-]{6,}|\b(?:ghp|gho|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{16,}"
+#: A quote, escaped or not, that may close a label or open its value.
+QUOTE = r"(?:\\?[\"'`“”„‘’«»])?"
+#: What may stand between a secret's label and its value; a value needs a letter or digit, else it had no surrogate.
+ASSIGN = rf"{QUOTE}[ \t]*\s?[=:][ \t]*\s?{QUOTE}"
+KEY = rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key){ASSIGN}(?=[_\-]*[A-Za-z0-9])[A-Za-z0-9_\-]{{6,}}|\b(?:ghp|gho|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{{16,}}"
 NAME = rf"\b(?:{TITLES})\b\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
 ANY = "|".join((EMAIL, KEY, IP, CARD, PHONE, NAME))
 #: Cheap signs that a text may hold an entity at all.
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:{TITLES})\b"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:AKIA|ASIA)[A-Z]|\b(?:ghp|gho|sk|pk|xox[bp])[_\-]|\b(?:{TITLES})\b"
 VOWELS, REST = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Letters by script: vowels, others.
 ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеиоуэюя", "бвгджзклмнпрстфхцчш"), (r"\p{IsGreek}", "αεηιουω", "βγδζθκλμνξπρστφχψ"))
@@ -48,7 +52,7 @@ def kind_of(m: Column) -> Column:
 
 def _parts(kind: Column, m: Column) -> Column:
     """What of a match is replaced: array of the value itself or, for names, of each word behind the title."""
-    value = F.when(kind == "KEY", F.regexp_replace(m, r"^[^=:]*[=:]\s?", "")).when(kind == "PHONE", F.regexp_replace(m, COUNTRY, "")).otherwise(m)
+    value = F.when(kind == "KEY", F.regexp_replace(m, rf"^[^=:]*[=:][ \t]*\s?{QUOTE}", "")).when(kind == "PHONE", F.regexp_replace(m, COUNTRY, "")).otherwise(m)
     return F.when(kind == "PERSON", F.split(F.regexp_replace(m, rf"^(?:{TITLES})\b\.? ", ""), " ")).otherwise(F.array(value))
 
 
