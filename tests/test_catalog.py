@@ -33,3 +33,9 @@ def test_same_rows_as_duckdb(spark, duck, name):
     assert sorted(names) == cols
     theirs = sorted(str([cell(r[names.index(c)]) for c in cols]) for r in got.fetchall())
     assert ours == theirs
+
+
+def test_fair_values_cover_every_market_with_a_reference(spark):
+    rows = catalog.QUERIES["m9_fair_value_all"](spark, SF).collect()
+    refs = {r.market_id for r in catalog.QUERIES["m2_resolve_reference"](spark, SF).collect() if r.reference_book_id is not None}
+    assert len(rows) == 2 * len(refs) and {r.fallback for r in rows} == {True, False} and all(r.fallback == (r.overround < -1e-9) for r in rows)

@@ -174,6 +174,12 @@ REF_SQL = SNAP_SQL + f""",
 refs AS (SELECT market_id, CASE WHEN bool_or(book_id = 0 AND complete AND {AGE.format('oldest')} <= {WIDE}) THEN 0 WHEN bool_or(book_id = 1 AND complete AND {AGE.format('oldest')} <= {WIDE}) THEN 1 END AS reference_book_id FROM books GROUP BY market_id),
 fair AS (SELECT l.market_id, l.selection_id, l.book_id AS reference_book_id, l.line AS ref_line, 1 / l.odds AS p, b.implied AS s, 1 / l.odds - (b.implied - 1) / 2 AS fair_prob
     FROM latest l JOIN refs ON l.market_id = refs.market_id AND l.book_id = refs.reference_book_id JOIN books b ON b.market_id = l.market_id AND b.book_id = l.book_id WHERE b.implied >= 1 - 1e-9)"""
+#: Fair values of every market with a reference: multiplicative, and flagged, where Shin refuses a sum below one.
+FAIR_SQL = REF_SQL[REF_SQL.index("fair AS") :]
+FAIR_ALL_SQL = """fair AS (SELECT l.market_id, l.selection_id, l.book_id AS reference_book_id, l.line AS ref_line, 1 / l.odds AS p, b.implied AS s,
+    CASE WHEN b.implied >= 1 - 1e-9 THEN 1 / l.odds - (b.implied - 1) / 2 ELSE 1 / l.odds / b.implied END AS fair_prob, b.implied < 1 - 1e-9 AS fallback
+    FROM latest l JOIN refs ON l.market_id = refs.market_id AND l.book_id = refs.reference_book_id JOIN books b ON b.market_id = l.market_id AND b.book_id = l.book_id)"""
+REF_ALL_SQL = REF_SQL.replace(FAIR_SQL, FAIR_ALL_SQL)
 
 
 @query("m1_market_snapshot", SNAP_SQL + " SELECT market_id, book_id, n_quoted, complete, epoch_us(oldest) AS oldest_us, epoch_us(newest) AS newest_us FROM books")
@@ -192,6 +198,18 @@ def m2(v: Views) -> DataFrame:
     return _reference(v)[1].select("market_id", "reference_book_id", "reason")
 
 
+def _fair(v: Views, every: bool = False) -> DataFrame:
+    """Fair values: where Shin's method holds, or of every market with a reference."""
+    fair = pricing.fair_values(*_reference(v))
+    return fair if every else fair.filter("NOT fallback")
+
+
+def _every_market(name: str, f: Callable[[Views, bool], DataFrame]) -> None:
+    """Register ``name``_all: the same query over the fair values of every market with a reference."""
+    QUERIES[f"{name}_all"] = lambda spark, sf_dir: f(Views(spark, sf_dir), True)
+    ORACLE_SQL[f"{name}_all"] = ORACLE_SQL[name].replace(FAIR_SQL, FAIR_ALL_SQL)
+
+
 def _complete(v: Views) -> DataFrame:
     return pricing.book_snapshots(v.latest).filter("complete").withColumn("p", F.transform("quotes", lambda x: 1 / x["odds"]))
 
@@ -228,17 +246,29 @@ def m7(v: Views) -> DataFrame:
 
 @query("m9_fair_value", REF_SQL + " SELECT selection_id, reference_book_id, round(fair_prob, 7) AS fair_prob, round(1 / fair_prob, 6) AS fair_decimal, round(s - 1, 7) AS overround FROM fair")
 def m9(v: Views) -> DataFrame:
-    own = pricing.fair_values(*_reference(v)).filter("NOT fallback")
+    own = _fair(v)
     return own.select("selection_id", "reference_book_id", r("fair_prob", 7).alias("fair_prob"), r("fair_decimal").alias("fair_decimal"), r("overround", 7).alias("overround"))
 
 
+@query("m9_fair_value_all", REF_ALL_SQL + " SELECT selection_id, reference_book_id, round(fair_prob, 7) AS fair_prob, round(1 / fair_prob, 6) AS fair_decimal, round(s - 1, 7) AS overround, fallback FROM fair")
+def m9_all(v: Views) -> DataFrame:
+    return _fair(v, True).select("selection_id", "reference_book_id", r("fair_prob", 7).alias("fair_prob"), r("fair_decimal").alias("fair_decimal"), r("overround", 7).alias("overround"), "fallback")
+
+
 @query("m8_devig_disagreement", REF_SQL + """, pw AS (SELECT market_id, max(p) AS b, min(p) AS a, any_value(s) AS s FROM fair GROUP BY market_id),
 bis AS (SELECT market_id, a, b, s, CASE WHEN s > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lo, CASE WHEN s > 1 THEN 2 * ln(2) / -ln(b) + 2 ELSE 1.0::DOUBLE END AS hi, 0 AS n FROM pw
     UNION ALL SELECT market_id, a, b, s, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM bis WHERE n < 60)
 SELECT market_id, round(greatest(abs(b / s - (b - (s - 1) / 2)), abs(pow(b, (lo + hi) / 2) - (b - (s - 1) / 2))), 6) AS disagreement FROM bis WHERE n = 60""")
 def m8(v: Views) -> DataFrame:
-    own = pricing.fair_values(*_reference(v)).filter("NOT fallback")
-    return own.groupBy("market_id").agg(r(F.max("disagreement")).alias("disagreement"))
+    return _fair(v).groupBy("market_id").agg(r(F.max("disagreement")).alias("disagreement"))
+
+
+@query("m8_devig_disagreement_all", REF_ALL_SQL + """, pw AS (SELECT market_id, max(p) AS b, min(p) AS a, any_value(s) AS s, max_by(fair_prob, p) AS f FROM fair GROUP BY market_id),
+bis AS (SELECT market_id, a, b, s, f, CASE WHEN s > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lo, CASE WHEN s > 1 THEN 2 * ln(2) / -ln(b) + 2 ELSE 1.0::DOUBLE END AS hi, 0 AS n FROM pw
+    UNION ALL SELECT market_id, a, b, s, f, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN pow(a, (lo + hi) / 2) + pow(b, (lo + hi) / 2) > 1 THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM bis WHERE n < 60)
+SELECT market_id, round(greatest(abs(b / s - f), abs(b - (s - 1) / 2 - f), abs(pow(b, (lo + hi) / 2) - f)), 6) AS disagreement FROM bis WHERE n = 60""")
+def m8_all(v: Views) -> DataFrame:
+    return _fair(v, True).groupBy("market_id").agg(r(F.max("disagreement")).alias("disagreement"))
 
 
 ASSESS_SQL = REF_SQL + f""",
@@ -249,39 +279,42 @@ assessed AS (SELECT l.market_id, l.league_id, l.selection_id, l.book_id, l.odds,
 gated AS (SELECT *, CASE WHEN status = 'priced' THEN fair_prob * odds - 1 END AS ev, CASE WHEN status <> 'priced' THEN status WHEN fair_prob * odds - 1 <= 0 THEN 'not_positive' WHEN (fair_prob * odds - 1) * 100 < 1 THEN 'below_threshold' WHEN age > {WIDE} THEN 'too_old' ELSE 'signal' END AS outcome FROM assessed)"""
 
 
-def _assessed(v: Views) -> DataFrame:
-    fair = pricing.fair_values(*_reference(v)).filter("NOT fallback")
-    return pricing.assess(v.latest, fair, WIDE)
+def _assessed(v: Views, every: bool = False) -> DataFrame:
+    return pricing.assess(v.latest, _fair(v, every), WIDE)
 
 
-def _gated(v: Views) -> DataFrame:
-    return pricing.ev_outcomes(_assessed(v), max_age=WIDE, ratio=0.0)
+def _gated(v: Views, every: bool = False) -> DataFrame:
+    return pricing.ev_outcomes(_assessed(v, every), max_age=WIDE, ratio=0.0)
 
 
 @query("m10_assess_quotes", ASSESS_SQL + " SELECT selection_id, book_id, status, round(CASE WHEN status = 'priced' THEN fair_prob * odds - 1 END, 8) AS ev FROM assessed")
-def m10(v: Views) -> DataFrame:
-    return _assessed(v).select("selection_id", "book_id", "status", r("ev", 8).alias("ev"))
+def m10(v: Views, every: bool = False) -> DataFrame:
+    return _assessed(v, every).select("selection_id", "book_id", "status", r("ev", 8).alias("ev"))
 
 
 @query("m11_ev_signals", ASSESS_SQL + " SELECT selection_id, book_id, round(ev * 100, 5) AS ev_percent, round(odds, 4) AS odds FROM gated WHERE outcome = 'signal'")
-def m11(v: Views) -> DataFrame:
-    return _gated(v).filter("outcome = 'signal'").select("selection_id", "book_id", r(F.col("ev") * 100, 5).alias("ev_percent"), r("odds", 4).alias("odds"))
+def m11(v: Views, every: bool = False) -> DataFrame:
+    return _gated(v, every).filter("outcome = 'signal'").select("selection_id", "book_id", r(F.col("ev") * 100, 5).alias("ev_percent"), r("odds", 4).alias("odds"))
 
 
 @query("a12_reason_counters", ASSESS_SQL + " SELECT outcome, count(*) AS n FROM gated GROUP BY outcome")
-def a12(v: Views) -> DataFrame:
-    return _gated(v).groupBy("outcome").agg(F.count("*").alias("n"))
+def a12(v: Views, every: bool = False) -> DataFrame:
+    return _gated(v, every).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("w5_rank_ev", ASSESS_SQL + " SELECT selection_id, book_id, round(round(ev, 9) * 100, 5) AS ev_percent FROM gated WHERE outcome = 'signal' ORDER BY round(ev, 9) DESC, observed_at DESC, selection_id DESC, book_id DESC LIMIT 50")
-def w5(v: Views) -> DataFrame:
-    found = _gated(v).filter("outcome = 'signal'").withColumn("ev", r("ev", 9))
+def w5(v: Views, every: bool = False) -> DataFrame:
+    found = _gated(v, every).filter("outcome = 'signal'").withColumn("ev", r("ev", 9))
     return pricing.rank_ev(found, 50).select("selection_id", "book_id", r(F.col("ev") * 100, 5).alias("ev_percent"))
 
 
 @query("j13_assess_vs_reference", ASSESS_SQL + " SELECT status, count(*) AS n FROM assessed GROUP BY status")
-def j13(v: Views) -> DataFrame:
-    return _assessed(v).groupBy("status").agg(F.count("*").alias("n"))
+def j13(v: Views, every: bool = False) -> DataFrame:
+    return _assessed(v, every).groupBy("status").agg(F.count("*").alias("n"))
+
+
+for _name, _f in (("m10_assess_quotes", m10), ("m11_ev_signals", m11), ("a12_reason_counters", a12), ("w5_rank_ev", w5), ("j13_assess_vs_reference", j13)):
+    _every_market(_name, _f)
 
 
 @query("a10_market_margin", SNAP_SQL + """ SELECT market_id, book_id, round(implied, 8) AS implied_sum, round(implied - 1, 8) AS overround, round((implied - 1) / implied, 8) AS vig,
