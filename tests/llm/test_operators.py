@@ -223,6 +223,21 @@ def test_grammar_round_trip():
     assert (tokenfiles.lengths(shard.rules)[tokenfiles.FIRST :] == shard.rule_lengths).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(6)
+    passage = np.arange(100, 164)
+    docs = [np.concatenate([rng.integers(200, 40_000, 30), passage, rng.integers(200, 260, 400), [0]]).astype(np.uint16) for _ in range(300)] + [np.full(1000, 9, np.uint16)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    s, to, rules = tokenfiles.compress(ids, ends)
+    inside = np.ones(len(s) - 1, bool)
+    inside[to[:-1] - 1] = False
+    left = Counter((a, b) for a, b in np.stack([s[:-1], s[1:]], 1)[inside].tolist() if a != b)
+    assert max(left.values()) < tokenfiles.RARE and len(rules) < tokenfiles.LAST - tokenfiles.FIRST
+    assert tokenfiles.lengths(rules).max() >= 64, "a repeated passage becomes one symbol"
+    shard = tokenfiles.Shard(tokenfiles.to_bytes(list(range(len(docs))), ids, ends))
+    assert all((a == b).all() for a, b in zip(shard.all_ids(), docs, strict=True)) and (shard.ids(7) == docs[7]).all()
+
+
 def test_classifiers_on_held_out_rows(spark):
 
     base = "/root/testdata/sf0.01"

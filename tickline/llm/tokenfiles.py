@@ -4,7 +4,8 @@ A shard file holds, little-endian: the magic, the counts, the rules (pairs of sy
 lengths, one row for each document (id, first symbol, first token) and the symbols, 16 bits each. Symbols
 below ``FIRST`` are token ids; the rest are rules. No symbol crosses a document's end, so a document is decoded
 from its own symbols and the rules alone. Frequent pairs are replaced in rounds: each round counts the pairs of
-the shard, makes the most frequent ones rules (pairs may hold earlier rules) and replaces them from left to right.
+the shard exactly, makes those near the most frequent one rules (pairs may hold earlier rules) and replaces them
+from left to right, until no pair occurs ``RARE`` times or the rule numbers run out.
 
 Shards are written by tasks over ranges of doc_id into the shared folder, under names no other attempt uses; the
 manifest lists those that count. Cases: null and empty texts hold the end id alone; a null doc_id comes first;
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from tickline.llm.common import Memo, shared_dir, stored
 
 MAGIC = b"TKRP0001"
-FIRST, LAST, ROUNDS, PER_ROUND, RARE = 50_257, 65_536, 3, 5_000, 12
+FIRST, LAST, PER_ROUND, RARE = 50_257, 65_536, 5_000, 12
+#: A round takes pairs that are at least this part as frequent as the most frequent one, so that rules of rules get numbers too.
+NEAR_TOP = 2
 SLOT_BITS = 18
 SHARD_IDS = 4_000_000
 END = 0
@@ -115,46 +118,55 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     s, ends = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
     made = FIRST
-    for _ in range(ROUNDS):
-        room = min(PER_ROUND, LAST - made)
-        if len(s) < 2 or room <= 0:
-            break
+    while made < LAST and len(s) > 1:
         pair = s[:-1] << np.uint32(16) | s[1:]
-        slot = (pair * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
         inside = np.ones(len(pair), bool)
         inside[ends[:-1] - 1] = False
-        count = np.bincount(slot[inside], minlength=1 << SLOT_BITS)
-        hot = np.flatnonzero(count >= RARE)
-        hot = hot[np.argsort(-count[hot], kind="stable")[:room]]
-        if not len(hot):
-            break
-        live = np.zeros(1 << SLOT_BITS, bool)
-        live[hot] = True
-        cand = np.flatnonzero(live[slot] & inside)
-        # one pair a slot, the one that comes last; others of the slot have their turn in a later round
-        key = np.zeros(1 << SLOT_BITS, np.uint32)
-        key[slot[cand]] = pair[cand]
-        hit = cand[key[slot[cand]] == pair[cand]]
-        exact = np.bincount(slot[hit], minlength=1 << SLOT_BITS)
-        own = hot[exact[hot] >= RARE]
-        if not len(own):
+        same = np.flatnonzero(inside & (s[:-1] == s[1:]))  # places of one pair that overlap: every second counts, from the left
+        inside[same[_odd(same)]] = False
+        every = np.sort(pair[inside])
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
+        count = np.diff(first, append=len(every))
+        top = count.max(initial=0)
+        if top < RARE:
             break
-        name = np.zeros(1 << SLOT_BITS, np.uint32)
-        name[own] = made + np.arange(len(own), dtype=np.uint32)
-        hit = hit[name[slot[hit]] > 0]
-        run = np.flatnonzero(np.diff(hit, prepend=-2) != 1)  # of overlapping places every second goes, from the left
-        first = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
-        hit = hit[(hit - first) % 2 == 0]
-        s[hit] = name[slot[hit]]
+        hot = np.flatnonzero(count >= max(RARE, top // NEAR_TOP))
+        hot = hot[np.argsort(-count[hot], kind="stable")[: min(PER_ROUND, LAST - made)]]
+        best, hot = every[first[hot[0]]], np.sort(every[first[hot]])
+        hit, rule = _places(pair, inside, hot)
+        hit, rule = (x[~_odd(hit)] for x in (hit, rule))  # of overlapping places every second goes
+        used = np.bincount(rule, minlength=len(hot)) >= RARE
+        if not used.any():  # neighbours took each other's places: the most frequent pair alone
+            hot, used = np.array([best]), np.ones(1, bool)
+            hit, rule = _places(pair, inside, hot)
+        hit, rule = (x[used[rule]] for x in (hit, rule))
+        s[hit] = np.uint32(made) + (np.cumsum(used) - 1).astype(np.uint32)[rule]
         stay = np.ones(len(s), bool)
         stay[hit + 1] = False
         ends = ends - np.searchsorted(hit + 1, ends)
         s = s[stay]
-        rules.append(np.stack([key[own] >> np.uint32(16), key[own] & np.uint32(0xFFFF)], 1).astype(np.uint16))
-        made += len(own)
+        hot = hot[used]
+        rules.append(np.stack([hot >> np.uint32(16), hot & np.uint32(0xFFFF)], 1).astype(np.uint16))
+        made += len(hot)
     return s.astype(np.uint16), ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
 
+def _odd(at: np.ndarray) -> np.ndarray:
+    """Which of ascending places are the second, fourth, ... of a run without gaps."""
+    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return (at - np.repeat(at[run], np.diff(run, append=len(at)))) % 2 == 1
+
+
+def _places(pair: np.ndarray, inside: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in ``hot`` (sorted), and which pair each holds; the slots only spare most of the searches."""
+    live = np.zeros(1 << SLOT_BITS, bool)
+    live[hot * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)] = True
+    at = np.flatnonzero(live[pair * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)] & inside)
+    which = np.minimum(np.searchsorted(hot, pair[at]), len(hot) - 1)
+    own = hot[which] == pair[at]
+    return at[own], which[own]
+
+
 def lengths(rules: np.ndarray) -> np.ndarray:
     """Tokens that each symbol expands to."""
     out = [1] * FIRST
