@@ -61,6 +61,16 @@ def test_pii_keys_in_quotes_and_without_digits(spark):
     assert out[7].text == texts[7], "nothing to replace"
 
 
+def test_pii_names_of_many_words_and_later_mentions(spark):
+    texts = ["Smith came. Mrs. Maria Smith met Dr. Anna Maria Schmidt. Smith said SCHMIDT left Smith's smithy.", "Herr Dr. Braun und Mr. O'Neil-Lee's cat, Braunau", "Smith alone", "Mr. Smith Mrs. Jones"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.surrogate_texts(own).collect()}
+    m = re.fullmatch(r"(\w+) came\. Mrs\. (\w+) (\w+) met Dr\. (\w+) (\w+) (\w+)\. (\w+) said (\w+) left (\w+)'s smithy\.", out[0].text)
+    assert m and m[1] == m[3] == m[7] == m[9] != "Smith" and m[2] == m[5] and m[6].upper() == m[8] != "SCHMIDT" and out[0].n_entities == 6
+    assert re.fullmatch(r"Herr Dr\. \w{5} und Mr\. \w'\w{4}-\w{3}'s cat, Braunau", out[1].text) and not re.search(r"Braun\b|Neil|Lee", out[1].text)
+    assert out[2].text == texts[2] and out[3].text.startswith(f"Mr. {m[1]} Mrs. ") and "Jones" not in out[3].text
+
+
 def test_surrogates_collide_neither_with_each_other_nor_with_entities(spark):
     ents = spark.range(150).select(F.lit("IP").alias("kind"), F.concat_ws(".", F.lit("9"), F.lit("8"), (F.col("id") % 9 + 1).cast("string"), (F.col("id") % 7 + 1).cast("string")).alias("norm")).distinct()
     got = pii.surrogates(ents, "k").collect()

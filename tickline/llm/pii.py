@@ -1,7 +1,7 @@
 """Personal data: detection and keyed surrogates, by DataFrame and SQL functions alone.
 
-Kinds: EMAIL, IP, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned secrets) and PERSON (names behind
-a title). An entity is its kind and normal form (lower-case; digits alone for numbers; a name is each of its
+Kinds: EMAIL, IP, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned secrets) and PERSON (all
+capitalised words behind a title, and each of them wherever it recurs with a capital in the same text). An entity is its kind and normal form (lower-case; digits alone for numbers; a name is each of its
 words), so spellings of one entity share a surrogate. A surrogate replaces letters by letters and digits by digits
 at their places: vowels by vowels and other letters by other letters of the same script and case, and signs,
 lengths, the country code, the mail's top domain and a password's label and quotes stay. Numbers that pass the Luhn check get
@@ -34,7 +34,10 @@ QUOTE = r"(?:\\?[\"'`“”„‘’«»])?"
 #: What may stand between a secret's label and its value; a value needs a letter or digit, else it had no surrogate.
 ASSIGN = rf"{QUOTE}[ \t]*\s?[=:][ \t]*\s?{QUOTE}"
 KEY = rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key){ASSIGN}(?=[_\-]*[A-Za-z0-9])[A-Za-z0-9_\-]{{6,}}|\b(?:ghp|gho|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{{16,}}"
-NAME = rf"\b(?:{TITLES})\b\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
+TITLE = rf"\b(?:{TITLES})\b\.?"
+#: A capitalised word that is no title; a possessive s is left out.
+WORD = rf"(?!(?:{TITLES})\b)\p{{Lu}}(?:\p{{L}}|['’\-](?=\p{{L}})(?!s\b))+"
+NAME = rf"{TITLE}(?: {TITLE})* {WORD}(?: {WORD})*"
 ANY = "|".join((EMAIL, KEY, IP, CARD, PHONE, NAME))
 #: Cheap signs that a text may hold an entity at all.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:AKIA|ASIA)[A-Z]|\b(?:ghp|gho|sk|pk|xox[bp])[_\-]|\b(?:{TITLES})\b"
@@ -46,14 +49,26 @@ ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеиоуэюя", "
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.rlike(f"^(?:{EMAIL})$"), "EMAIL").when(m.rlike(f"^(?:{KEY})$"), "KEY").when(m.rlike(f"^(?:{IP})$"), "IP")
-        .when(m.rlike(f"^(?:{CARD})$"), "CARD").when(m.rlike(f"^(?:{NAME})$"), "PERSON").otherwise("PHONE")
+        .when(m.rlike(f"^(?:{CARD})$"), "CARD").when(m.rlike(f"^(?:{NAME}|{WORD})$"), "PERSON").otherwise("PHONE")
     )
 
 
+def _words(m: Column) -> Column:
+    """A name's words, without the titles before them."""
+    return F.split(F.regexp_replace(m, rf"^(?:{TITLE} )+", ""), " ")
+
+
+def _pattern(text: Column) -> Column:
+    """What to look for in a text that holds a title: every kind, and its own names' words wherever they recur with a capital."""
+    names = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1)), _words)))
+    again = F.concat(F.lit(r"|(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    return F.concat(F.lit(f"(?:{ANY})"), F.when(F.size(names) > 0, again).otherwise(""))
+
+
 def _parts(kind: Column, m: Column) -> Column:
     """What of a match is replaced: array of the value itself or, for names, of each word behind the title."""
     value = F.when(kind == "KEY", F.regexp_replace(m, rf"^[^=:]*[=:][ \t]*\s?{QUOTE}", "")).when(kind == "PHONE", F.regexp_replace(m, COUNTRY, "")).otherwise(m)
-    return F.when(kind == "PERSON", F.split(F.regexp_replace(m, rf"^(?:{TITLES})\b\.? ", ""), " ")).otherwise(F.array(value))
+    return F.when(kind == "PERSON", _words(m)).otherwise(F.array(value))
 
 
 def _norm(kind: Column, part: Column) -> Column:
@@ -146,7 +161,9 @@ def pseudonymize(docs: DataFrame, key: str = "surrogate-key-1") -> tuple[DataFra
     """
     may = F.col("text").rlike(HINT)
     cols = docs.columns
-    marked = docs.select(*cols, F.when(may, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("_m"))
+    titled = F.col("text").rlike(NAME)  # these are few, and only they have a pattern of their own
+    found = lambda pattern: F.regexp_extract_all("text", pattern, F.lit(0))
+    marked = docs.select(*cols, F.when(may & titled, found(_pattern(F.col("text")))).when(may, found(F.lit(ANY))).alias("_m"))
     has = F.coalesce(F.size("_m") > 0, F.lit(False))
     # texts are told apart by two hashes; a shared one would only share maps, which hold no wrong entry
     rows = marked.filter(has).select(F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("h2"), "_m")
@@ -164,7 +181,7 @@ def pseudonymize(docs: DataFrame, key: str = "surrogate-key-1") -> tuple[DataFra
     own = marked.filter(has).withColumns({"_h": F.xxhash64("text"), "_h2": F.crc32(F.col("text").cast("binary"))})
     maps = maps.withColumnsRenamed({"h": "_mh", "h2": "_mh2"})
     joined = own.join(maps, (F.col("_h") == F.col("_mh")) & (F.col("_h2") == F.col("_mh2")))
-    between = F.split("text", f"(?:{ANY})", -1)
+    between = F.when(titled, F.split("text", _pattern(F.col("text")), -1)).otherwise(F.split("text", f"(?:{ANY})", -1))
     text = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.col("_m").alias("m")), lambda x: F.concat(x["b"], F.coalesce(F.element_at("_map", x["m"]), F.lit("")))), "")
     new = {"text": text}
     if "n_chars" in cols:
