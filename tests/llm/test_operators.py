@@ -270,6 +270,17 @@ def test_classifiers_on_odd_rows(spark, docs, empty):
     assert rows[0].lang_pred == rows[1].lang_pred == "und" and rows[4].lang_pred == "en" and langid.languages(empty).count() == 0
 
 
+def test_toxicity_of_ten_languages():
+    words = [[f"{chr(97 + k)}{chr(97 + j)}word" for j in range(6)] for k in range(10)]
+    texts, langs = zip(*[(" ".join(words[k]) + f" n{i}", f"l{k}") for k in range(10) for i in range(4)], strict=True)
+    model = toxicity.fit_net(list(texts), [i % 2 for i in range(40)], list(langs))
+    assert set(model["typical"].values()) == set(range(10))
+    memo = toxicity.Memo(toxicity.partial(toxicity._buckets, typical=model["typical"]))
+    packed, starts = toxicity._packed([*texts, "", None, "other"], memo)
+    assert toxicity.shown_language(packed, starts, 10).tolist() == [k for k in range(10) for _ in range(4)] + [10] * 3
+    assert (toxicity._tokens(packed) == toxicity._tokens(toxicity._packed([*texts, "", None, "other"], toxicity.Memo(toxicity._buckets))[0])).all()
+
+
 def test_gradients_of_the_networks():
     rng = np.random.default_rng(3)
     p = {k: v.astype(np.float64) for k, v in langid.init(3).items()}
