@@ -112,8 +112,8 @@ def cash_out(tickets: DataFrame, legs: DataFrame, graded: DataFrame, fair: DataF
 
 
 def ticket_audit(decided: DataFrame, tickets: DataFrame, leg_counts: DataFrame) -> DataFrame:
-    """Violations by rule: return against outcome, and leg count."""
-    own = decided.drop("stake_minor").join(tickets.select("wager_id", "stake_minor"), "wager_id").join(leg_counts, "wager_id")
+    """Violations by rule over all tickets: return against outcome of the settled ones, and leg count."""
+    own = tickets.select("wager_id", "stake_minor").join(leg_counts, "wager_id", "left").join(decided.select("wager_id", "status", "returned_minor"), "wager_id", "left")
     rules = {
         "lost_returns_nothing": (F.col("status") == "lost") & (F.col("returned_minor") != 0), "push_returns_stake": F.col("status").isin("push", "void") & (F.col("returned_minor") != F.col("stake_minor")),
         "won_at_least_stake": (F.col("status") == "won") & (F.col("returned_minor") < F.col("stake_minor")), "legs_within_25": F.col("n_legs") > 25,

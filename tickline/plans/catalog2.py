@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
 from tickline.operators import clv, pricing, reads, steam, tickets
-from tickline.plans.catalog import REF_SQL, _reference, query, r, us
+from tickline.plans.catalog import REF_ALL_SQL, REF_SQL, _fair, _reference, query, r, us
 from tickline.plans.model import Views
 from tickline.sources import raw
 
@@ -528,3 +528,34 @@ def t6(v: Views) -> DataFrame:
     lead = _moves(v).filter(F.abs("delta") >= 0.05).select("window_start", "selection_id").distinct()
     every = steam.candidates(_moves(v), max_lag=43200.0, min_correlation=-1.0)
     return lead.agg(F.count("*").alias("examined")).crossJoin(every.agg(F.count("*").alias("followed"), F.count_if(F.col("correlation") >= 0.5).alias("passed")))
+
+
+# ---- whole rows and amounts beside the counts above ---------------------------------------------------------------
+
+
+@query("a15_net_position_accounts", ENTRIES + " SELECT account_kind, user_id, CAST(sum(amount_minor) AS BIGINT) AS net_minor, count(*) AS entries FROM entries GROUP BY account_kind, user_id")
+def a15_accounts(v: Views) -> DataFrame:
+    return tickets.balances(_entries(v)).select("account_kind", "user_id", F.col("balance_minor").alias("net_minor"), "entries")
+
+
+@query("k11_settlement_entries_rows", ENTRIES + " SELECT wager_id, user_id, account_kind, amount_minor FROM entries WHERE kind = 'settlement'")
+def k11_rows(v: Views) -> DataFrame:
+    return tickets.settlement_entries(_decided(v)).select("wager_id", "user_id", "account_kind", "amount_minor")
+
+
+_MONEY = "CAST(CASE rounding WHEN 'half_even' THEN round_even({0}, 0) WHEN 'half_away' THEN round({0}) ELSE trunc({0}) END AS BIGINT)"
+
+
+@query("k13_cash_out_value_all", GRADE + REF_ALL_SQL + f""", per AS (SELECT l.wager_id, count(*) FILTER (WHERE g.result IS NULL) AS n_open, count(f.fair_prob) FILTER (WHERE g.result IS NULL) AS n_fair, count(*) FILTER (WHERE g.result IS NOT NULL AND g.result <> 'won') AS dead,
+    product(l.odds) AS total, product(f.fair_prob) FILTER (WHERE g.result IS NULL) AS chance FROM legs l LEFT JOIN graded g USING (leg_id) LEFT JOIN fair f ON f.selection_id = l.selection_id GROUP BY l.wager_id),
+pays AS (SELECT wager_id, n_open, chance, rounding, {_MONEY.format('(stake_minor * total)')} AS payout_minor FROM per JOIN tickets USING (wager_id) WHERE n_open > 0 AND dead = 0 AND n_fair = n_open),
+worth AS (SELECT *, {_MONEY.format('(payout_minor * chance)')} AS fair_minor FROM pays)
+SELECT wager_id, n_open, payout_minor, fair_minor, {_MONEY.format('(fair_minor * 0.95::DOUBLE)')} AS offer_minor FROM worth""")
+def k13_all(v: Views) -> DataFrame:
+    return tickets.cash_out(v.tickets, v.legs, _graded(v), _fair(v, True)).select("wager_id", "n_open", "payout_minor", "fair_minor", "offer_minor")
+
+
+@query("k17_ticket_shape_audit_all", GRADE + """ SELECT rule, count(*) FILTER (WHERE bad) AS violations FROM (SELECT unnest(['lost_returns_nothing', 'push_returns_stake', 'won_at_least_stake', 'legs_within_25']) AS rule,
+    unnest([s.status = 'lost' AND returned_minor <> 0, s.status = 'push' AND returned_minor <> t.stake_minor, s.status = 'won' AND returned_minor < t.stake_minor, n_legs > 25]) AS bad FROM tickets t LEFT JOIN settled s USING (wager_id) LEFT JOIN counts USING (wager_id)) GROUP BY rule""")
+def k17_all(v: Views) -> DataFrame:
+    return tickets.ticket_audit(_decided(v), v.tickets, v.legs.groupBy("wager_id").agg(F.count("*").alias("n_legs")))
