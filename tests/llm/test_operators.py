@@ -208,6 +208,13 @@ def test_neighbours(spark):
     assert ann.nearest(df.filter("vec_id = 0")).count() == 0 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_many_ties():
+    x = np.concatenate([np.zeros((1, 64)), np.eye(64), -np.eye(64)]) + 5.0  # 128 vectors at one distance of the first
+    ids = np.concatenate([[1000], np.random.default_rng(5).permutation(128)])
+    for k in (1, 5, 10):
+        assert ann.search(ids, x, ids[:1], x[:1], k)["vec_id"].tolist() == list(range(k))
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -76,8 +76,10 @@ def search(vec_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: n
     out_q, out_v, out_s = [], [], []
     for q, own, rows in zip(query_ids, queries, Forest(x).candidates(queries), strict=True):
         d = np.sqrt(np.square(x[rows] - own).sum(1))
-        near = np.argpartition(d, min(2 * k, len(d) - 1))[: 2 * k + 1] if len(d) > 2 * k else np.arange(len(d))
-        near = near[d[near] <= np.sort(d[near])[min(k, len(near) - 1)]] if len(near) else near
+        last = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)] if len(d) else 0.0  # the query's own row is among them
+        tied = np.flatnonzero(d == last)
+        tied = tied[np.argsort(ids[first[rows[tied]]], kind="stable")[: k + 1]]  # each vector's smallest id decides
+        near = np.concatenate([np.flatnonzero(d < last), tied])
         pairs = [(d[j], v) for j in near for v in np.unique(ids[first[rows[j]] : first[rows[j] + 1]])[: k + 1] if v != q]
         for s, v in sorted(pairs)[:k]:
             out_q.append(q)
