@@ -11,6 +11,7 @@ MAX_DENOMINATOR = 1000
 FAIR_BAND = 1e-9
 SHIN_TOP = 1 - 1e-6
 BISECTIONS = 60
+NEWTON_STEPS = 20
 
 
 def let(value: Column, body: callable) -> Column:
@@ -154,10 +155,15 @@ def devig_additive(p: Column) -> Column:
 
 
 def power_exponent(p: Column) -> Column:
+    """The k where the powers sum to one, by Newton's steps: the sum falls and is convex, so they come from below."""
+
+    def step(k: Column, _: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("d"))
+        sums = F.aggregate(p, zero, lambda a, x: let(F.pow(x, k), lambda y: F.struct((a["f"] + y).alias("f"), (a["d"] + y * F.log(x)).alias("d"))))
+        return let(sums, lambda v: k - F.try_divide(v["f"] - 1, v["d"]))
+
     def solve(s: Column) -> Column:
-        bound = 2 * F.log(F.size(p).cast("double")) / -F.log(F.array_max(p)) + 2
-        total = lambda k: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.pow(x, k))
-        k = _bisect(F.when(s > 1, 1.0).otherwise(0.0), F.when(s > 1, bound).otherwise(1.0), lambda m: total(m) > 1)
+        k = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.when(s > 1, 1.0).otherwise(0.0), step)
         return F.when(F.abs(s - 1) <= FAIR_BAND, 1.0).otherwise(k)
 
     return let(compensated(p), solve)
@@ -175,7 +181,8 @@ def devig_shin(p: Column) -> Column:
         root = lambda z: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.sqrt(z * z + 4 * x * x * (1 - z) / s))
         z = _bisect(F.lit(0.0), F.lit(SHIN_TOP), lambda m: root(m) > 2 + (n - 2) * m)
         q = let(z, lambda v: F.transform(p, lambda x: 2 * x * x / (s * (v + F.sqrt(v * v + 4 * x * x * (1 - v) / s)))))
-        return F.when(F.abs(s - 1) <= FAIR_BAND, F.transform(p, lambda x: x / s)).when(s >= 1 - FAIR_BAND, q)
+        two = F.transform(p, lambda x: x - (s - 1) / 2)  # what the root gives for two outcomes
+        return F.when(F.abs(s - 1) <= FAIR_BAND, F.transform(p, lambda x: x / s)).when(s >= 1 - FAIR_BAND, F.when(n == 2, two).otherwise(q))
 
     return let(compensated(p), solve)
 

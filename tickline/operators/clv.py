@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
@@ -14,16 +14,28 @@ def snapshot_as_of(asks: DataFrame, quotes: DataFrame, suspensions: DataFrame, l
     """For every ask (leg_id, side, market_id, book_id, as_of): the newest quote of each selection of the market at
     the book within (as_of - lookback, as_of] that no suspension [suspended_at, lifted_at) of the market covers.
 
-    A set form: join on keys with a range, anti-join on the market's episodes, newest by aggregate.
+    Linear in asks and quotes: both lie in one order by selection, book and time, and an ask takes the last quote
+    before it. Time is cut in stretches of one lookback, and the last quote of a stretch is carried into the next,
+    so that no task holds a selection's whole history.
     """
-    own = asks.join(quotes.select("market_id", "book_id", "selection_id", "odds", "line", "observed_at", "role", "market_type"), ["market_id", "book_id"])
-    age = O.age_seconds(F.col("as_of"), F.col("observed_at"))
-    own = own.filter((age >= 0) & (age < lookback))
+    width = int(lookback * 1_000_000)
+    key = ["market_id", "book_id", "selection_id"]
     held = suspensions.select(F.col("market_id").alias("m"), "suspended_at", "lifted_at")
-    inside = (own["market_id"] == held["m"]) & (own["observed_at"] >= held["suspended_at"]) & (own["observed_at"] < F.coalesce(held["lifted_at"], F.lit("9999-01-01").cast("timestamp")))
-    own = own.join(held, inside, "left_anti")
-    best = own.groupBy("leg_id", "side", "market_id", "book_id", "selection_id").agg(F.max_by(F.struct("odds", "line", "role", "market_type", "observed_at"), "observed_at").alias("q"))
-    return best.select("leg_id", "side", "market_id", "book_id", "selection_id", "q.*")
+    inside = (quotes["market_id"] == held["m"]) & (quotes["observed_at"] >= held["suspended_at"]) & (quotes["observed_at"] < F.coalesce(held["lifted_at"], F.lit("9999-01-01").cast("timestamp")))
+    quote = F.struct("odds", "line", "role", "market_type", "observed_at").alias("q")
+    live = quotes.join(held, inside, "left_anti").select(*key, quote, F.unix_micros("observed_at").alias("t"))
+    stretch = F.floor(F.col("t") / F.lit(width)).cast("long")
+    live = live.withColumn("stretch", stretch)
+    carried = live.groupBy(*key, "stretch").agg(F.max_by("q", "t").alias("q"), F.max("t").alias("t")).withColumn("stretch", F.col("stretch") + 1)
+    selections = quotes.select(*key).distinct()
+    none = F.lit(None)
+    asked = asks.join(selections, ["market_id", "book_id"]).withColumn("t", F.unix_micros("as_of")).withColumn("stretch", stretch)
+    rows = live.select(*key, "stretch", "t", "q").union(carried.select(*key, "stretch", "t", "q")).select("*", none.cast(asks.schema["leg_id"].dataType).alias("leg_id"), none.cast("string").alias("side"))
+    rows = rows.unionByName(asked.select(*key, "stretch", "t", none.cast(live.schema["q"].dataType).alias("q"), "leg_id", "side"))
+    order = Window.partitionBy(*key, "stretch").orderBy("t", F.col("side").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("q", F.last("q", True).over(order)).filter(F.col("side").isNotNull() & F.col("q").isNotNull())
+    found = found.filter(F.col("t") - F.unix_micros("q.observed_at") < width)
+    return found.select("leg_id", "side", *key, "q.*")
 
 
 def closable(legs: DataFrame, games: DataFrame) -> DataFrame:

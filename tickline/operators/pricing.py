@@ -70,13 +70,16 @@ def assess(latest: DataFrame, fair: DataFrame, max_quote_age: float = MAX_QUOTE_
 
     Status in order: no_fair_value, stale (the book's oldest quote), no_reference_quote, line_mismatch, priced.
     """
-    anchor = latest.groupBy("market_id").agg(F.max("observed_at").alias("anchor"))
-    oldest = latest.groupBy("market_id", "book_id").agg(F.min("observed_at").alias("oldest"))
-    priced = fair.select("market_id").distinct().withColumn("has_fair", F.lit(True))
-    own = latest.join(anchor, "market_id").join(oldest, ["market_id", "book_id"]).join(priced, "market_id", "left")
-    own = own.join(fair.drop("market_id"), "selection_id", "left")
+    book = latest.groupBy("market_id", "book_id").agg(F.min("observed_at").alias("oldest"), F.max("observed_at").alias("newest"))
+    book = book.withColumn("anchor", F.max("newest").over(Window.partitionBy("market_id"))).drop("newest")
+    # one row a market: its selections' fair values, so that quotes meet them by the market they are dealt by
+    rest = [c for c in fair.columns if c not in ("market_id", "selection_id")]
+    priced = fair.groupBy("market_id").agg(F.collect_list(F.struct("selection_id", *rest)).alias("fair"))
+    own = latest.join(book, ["market_id", "book_id"]).join(priced, "market_id", "left")
+    own = own.withColumn("f", F.try_element_at(F.filter("fair", lambda x: x["selection_id"] == F.col("selection_id")), F.lit(1)))
+    own = own.select(*[c for c in own.columns if c not in ("fair", "f")], F.col("fair").isNotNull().alias("has_fair"), *[F.col(f"f.{c}").alias(c) for c in rest])
     status = (
-        F.when(F.col("has_fair").isNull(), "no_fair_value").when(O.age_seconds(F.col("anchor"), F.col("oldest")) > max_quote_age, "stale")
+        F.when(~F.col("has_fair"), "no_fair_value").when(O.age_seconds(F.col("anchor"), F.col("oldest")) > max_quote_age, "stale")
         .when(F.col("fair_prob").isNull(), "no_reference_quote").when(~F.col("line").eqNullSafe(F.col("ref_line")), "line_mismatch").otherwise("priced")
     )
     q, d = F.col("fair_prob"), F.col("odds")
