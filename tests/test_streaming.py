@@ -20,3 +20,25 @@ def test_ohlc_stream_equals_batch(spark, tmp_path):
     )
     want = {(r[0], r[1]["start"], *r[2:]) for r in own.collect()}
     assert got and got <= want and len(want) - len(got) <= 2 * len({r[0] for r in want})
+
+
+def test_steam_stream_equals_batch(spark):
+    from tickline.operators import steam
+    from tickline.streaming import state
+
+    own = spark.read.parquet(f"{SF}/events.parquet").select(
+        F.col("event_type").alias("selection_id"), (F.col("user_id") % 5).cast("int").alias("book_id"), (0.05 + 0.9 * (F.col("value") % 100) / 100).alias("implied"), F.col("ts").cast("timestamp").alias("observed_at")
+    )
+    own = own.dropDuplicates(["selection_id", "book_id", "observed_at"]).withColumn("t", F.unix_micros("observed_at"))
+    lo, hi = own.agg(F.min("t"), F.max("t")).first()
+    parts = [own.filter((F.col("t") > lo + (hi - lo) * k // 3 - (k == 0)) & (F.col("t") <= lo + (hi - lo) * (k + 1) // 3)) for k in range(3)]
+    h, w = 6 * 3600 * 1_000_000, 18 * 3600 * 1_000_000
+    rows = state.replay(parts, lambda s: state.steam_stream(s, 18 * 3600, 6 * 3600, 6 * 3600, 0.0, 43200.0, 100_000, 1_000_000), "test-steam").collect()
+    last = lambda t: (t - h - w) // h * h + w
+    first = {r[0]: last(r[1]) for r in parts[0].groupBy("selection_id").agg(F.max("t")).collect()}
+    final = {r[0]: last(r[1]) for r in own.groupBy("selection_id").agg(F.max("t")).collect()}
+    batch = steam.candidates(steam.moves(own, "18 hours", "6 hours"), max_lag=43200.0).select("selection_id", F.unix_micros("window_end").alias("e"), "lead_book_id", F.round("lead_delta", 9), F.size("followers"), F.round("correlation", 9), "participating_books")
+    want = {tuple(r) for r in batch.collect() if first[r.selection_id] <= r.e <= final[r.selection_id]}
+    got = {(r.selection_id, r.window_end_us, r.lead_book_id, round(r.lead_delta, 9), r.followers, round(r.correlation, 9), r.books) for r in rows if r.kind == "finding"}
+    assert got == want and want
+    assert all(r.n == 0 for r in rows if r.kind in ("late", "skipped"))

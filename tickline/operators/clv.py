@@ -44,11 +44,13 @@ def closable(legs: DataFrame, games: DataFrame) -> DataFrame:
     return legs.join(games.select("event_id", "status", "scheduled_start"), "event_id").withColumn("close_at", close)
 
 
-def measure(legs: DataFrame, quotes: DataFrame, suspensions: DataFrame, n_selections: DataFrame, lookback: float = LOOKBACK_SECONDS) -> DataFrame:
+def measure(legs: DataFrame, quotes: DataFrame, suspensions: DataFrame, n_selections: DataFrame, lookback: float = LOOKBACK_SECONDS, full: bool = False) -> DataFrame:
     """Every closable leg with its CLV or the reason why it has none.
 
     Both snapshots come from the leg's own book in one pass. Reasons in order: no_close, taken_incomplete,
-    closing_incomplete, incoherent_lines, taken_quote_mismatch, not_priceable.
+    closing_incomplete, incoherent_lines, taken_quote_mismatch, not_priceable. With ``full`` all nine are told apart:
+    no_close, taken_incomplete, taken_incoherent, taken_quote_mismatch, closing_incomplete, closing_incoherent,
+    outcome_set_changed, close_before_take (a leg struck in play), not_devigable.
     """
     own = legs.select("leg_id", "market_id", "book_id", "selection_id", "odds", "taken_at", "close_at")
     side = F.explode(F.array(F.struct(F.lit("taken").alias("side"), F.col("taken_at").alias("as_of")), F.struct(F.lit("closing").alias("side"), F.col("close_at").alias("as_of"))))
@@ -72,6 +74,15 @@ def measure(legs: DataFrame, quotes: DataFrame, suspensions: DataFrame, n_select
         .when(size("closing") < F.col("n_selections"), "closing_incomplete").when((lines("taken") > 1) | (lines("closing") > 1), "incoherent_lines")
         .when((F.col("t.observed_at") != F.col("taken_at")) | (F.col("t.odds") != F.col("odds")), "taken_quote_mismatch").when(F.col("qt").isNull() | F.col("qc").isNull(), "not_priceable")
     )
+    if full:
+        ids = lambda c: F.transform(c, lambda x: x["selection_id"])
+        newest = lambda c: F.array_max(F.transform(c, lambda x: x["observed_at"]))
+        mismatch = F.col("t").isNull() | (F.col("t.observed_at") != F.col("taken_at")) | (F.col("t.odds") != F.col("odds"))
+        reason = (
+            F.when(F.col("close_at").isNull(), "no_close").when(size("taken") < F.coalesce("n_selections", F.lit(2)), "taken_incomplete").when(lines("taken") > 1, "taken_incoherent")
+            .when(mismatch, "taken_quote_mismatch").when(size("closing") < F.col("n_selections"), "closing_incomplete").when(lines("closing") > 1, "closing_incoherent")
+            .when(ids("taken") != ids("closing"), "outcome_set_changed").when(newest("closing") < newest("taken"), "close_before_take").when(F.col("qt").isNull() | F.col("qc").isNull(), "not_devigable")
+        )
     place = lambda c: F.array_position(F.transform(c, lambda x: x["selection_id"]), F.col("selection_id")).cast("int")
     own = own.withColumn("reason", reason)
     own = own.withColumns({"taken_fair": F.when(F.col("reason").isNull(), F.element_at("qt", place("taken"))), "closing_fair": F.when(F.col("reason").isNull(), F.element_at("qc", place("closing"))), "closing_price": F.col("c.odds")})
@@ -91,6 +102,16 @@ def aggregates(measured: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def compensated_means(measured: DataFrame, *keys: str) -> DataFrame:
+    """Counted samples and their means, the same whatever order the rows come in: sums are exact decimals.
+
+    Keys without a countable sample have no row: a mean of nothing is an error, not zero.
+    """
+    fine = measured.filter(~F.col("line_moved"))
+    exact = lambda c: (F.sum(F.col(c).cast("decimal(38,20)")).cast("double") / F.count("*"))
+    return fine.groupBy(*keys).agg(F.count("*").alias("counted"), exact("probability_clv").alias("mean_probability_clv"), exact("percent_clv").alias("mean_percent_clv"))
+
+
 def leaderboard(settled: DataFrame, clv: DataFrame, by: str, limit: int, min_wagers: int, min_samples: int) -> DataFrame:
     """Users with both minimum samples, by return on stake or by mean percent CLV."""
     s = settled.groupBy("user_id").agg(F.count("*").alias("settled_wagers"), F.sum("stake_minor").alias("staked_minor"), F.sum("net_return_minor").alias("net_return_minor"))

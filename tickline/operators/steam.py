@@ -5,23 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickline.operators.changes import rested
+
 #: Defaults of the rules.
 WINDOW, HOP, COOLDOWN = "180 seconds", "60 seconds", 300.0
 MIN_DELTA, MAX_LAG, NOISE, MIN_FOLLOWERS, MIN_CORRELATION = 0.05, 120.0, 0.005, 1, 0.5
 
 
+def window_points(ticks: DataFrame, window: str = WINDOW, hop: str = HOP) -> DataFrame:
+    """The points of every window, selection and book: w, implied and observed_at."""
+    return ticks.select(F.window("observed_at", window, hop).alias("w"), "selection_id", "book_id", "implied", "observed_at")
+
+
+def first_last(points: DataFrame) -> DataFrame:
+    """Last less first value, and the points, of every window, selection and book: an aggregate of bounded size."""
+    order = F.struct("observed_at", "implied")
+    per = points.groupBy("w", "selection_id", "book_id").agg(F.min_by("implied", order).alias("first"), F.max_by("implied", order).alias("last"), F.count("*").alias("n"))
+    return per.select("w", "selection_id", "book_id", (F.col("last") - F.col("first")).alias("delta"), "n")
+
+
+def largest_steps(points: DataFrame) -> DataFrame:
+    """The end of the largest step up and of the largest step down of every window, selection and book; the earliest of equals."""
+    order = Window.partitionBy("w", "selection_id", "book_id").orderBy("observed_at", "implied")
+    own = points.withColumn("step", F.col("implied") - F.lag("implied").over(order)).filter("step IS NOT NULL")
+    end = F.unix_micros("observed_at")
+    return own.groupBy("w", "selection_id", "book_id").agg(*[F.min_by(end, F.struct((F.col("step") * s).alias("s"), end.alias("t"))).alias(k) for s, k in ((-1.0, "up_us"), (1.0, "down_us"))])
+
+
 def moves(ticks: DataFrame, window: str = WINDOW, hop: str = HOP) -> DataFrame:
-    """Per window, selection and book with two or more points: last less first, and when the largest step in its direction ended."""
-    own = ticks.select(F.window("observed_at", window, hop).alias("w"), "selection_id", "book_id", "implied", "observed_at")
-    point = F.struct(F.col("observed_at").alias("t"), F.col("implied").alias("p"))
-    per = own.groupBy("w", "selection_id", "book_id").agg(F.array_sort(F.collect_list(point)).alias("pts")).filter(F.size("pts") >= 2)
-    delta = F.element_at("pts", -1)["p"] - F.element_at("pts", 1)["p"]
-    steps = F.transform(F.sequence(F.lit(2), F.size("pts")), lambda i: F.struct(((F.element_at("pts", i)["p"] - F.element_at("pts", i - 1)["p"]) * F.signum(F.col("delta"))).alias("s"), (-F.unix_micros(F.element_at("pts", i)["t"])).alias("n")))
-    per = per.withColumn("delta", delta).withColumn("moved_us", -F.array_max(steps)["n"])
-    return per.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "selection_id", "book_id", "delta", "moved_us")
+    """Per window, selection and book with two or more points: last less first, and when the largest step in its direction ended.
+
+    No array of points is built: one sort by key and time, and aggregates.
+    """
+    points = window_points(ticks, window, hop)
+    order = Window.partitionBy("w", "selection_id", "book_id").orderBy("observed_at", "implied")
+    own = points.withColumn("step", F.col("implied") - F.lag("implied").over(order))
+    end, at = F.unix_micros("observed_at"), F.struct("observed_at", "implied")
+    rank = lambda s: F.struct((F.col("step") * s).alias("s"), end.alias("t"))
+    per = own.groupBy("w", "selection_id", "book_id").agg(
+        (F.max_by("implied", at) - F.min_by("implied", at)).alias("delta"), F.count("*").alias("n"),
+        *[F.min_by(F.when(F.col("step").isNotNull(), end), F.when(F.col("step").isNotNull(), rank(s))).alias(k) for s, k in ((-1.0, "up_us"), (1.0, "down_us"), (0.0, "flat_us"))],
+    )
+    moved = F.when(F.col("delta") > 0, F.col("up_us")).when(F.col("delta") < 0, F.col("down_us")).otherwise(F.col("flat_us"))
+    return per.filter("n >= 2").select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "selection_id", "book_id", "delta", moved.alias("moved_us"))
 
 
-def candidates(moved: DataFrame, min_delta: float = MIN_DELTA, max_lag: float = MAX_LAG, minutes: float = 3.0, min_correlation: float = MIN_CORRELATION) -> DataFrame:
+def candidates(moved: DataFrame, min_delta: float = MIN_DELTA, max_lag: float = MAX_LAG, minutes: float = 3.0, min_correlation: float = MIN_CORRELATION, min_followers: int = MIN_FOLLOWERS) -> DataFrame:
     """The lead book of every window and selection, its followers, and the thresholds."""
     key = ["window_start", "window_end", "selection_id"]
     order = Window.partitionBy(*key).orderBy("moved_us", F.desc(F.abs("delta")), "book_id")
@@ -34,14 +63,16 @@ def candidates(moved: DataFrame, min_delta: float = MIN_DELTA, max_lag: float =
     out = both.groupBy(*key, "lead_book_id", "lead_delta", "lead_us").agg(
         F.array_sort(F.collect_list(F.when(follows, F.struct(lag.alias("lag_seconds"), "book_id", "delta")))).alias("followers"), F.avg(vote).alias("correlation"), F.count("*").alias("participating_books"),
     )
-    fine = (F.size("followers") >= MIN_FOLLOWERS) & (F.abs("lead_delta") / minutes >= min_delta / minutes) & (F.col("correlation") >= min_correlation)
+    fine = (F.size("followers") >= min_followers) & (F.abs("lead_delta") / minutes >= min_delta / minutes) & (F.col("correlation") >= min_correlation)
     return out.filter(fine).withColumn("direction", F.when(F.col("lead_delta") > 0, "up").otherwise("down"))
 
 
 def with_cooldown(found: DataFrame, cooldown: float = COOLDOWN) -> DataFrame:
     """Findings left after each (selection, direction) rests for ``cooldown`` seconds behind the last one emitted."""
-    ends = found.groupBy("selection_id", "direction").agg(F.array_sort(F.collect_list(F.unix_micros("window_end"))).alias("ends"))
-    seed = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
-    fold = F.aggregate("ends", seed, lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= int(cooldown * 1_000_000)), F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x.alias("last"))).otherwise(a), lambda a: a["kept"])
-    kept = ends.select("selection_id", "direction", F.explode(fold).alias("end_us"))
-    return found.withColumn("end_us", F.unix_micros("window_end")).join(kept, ["selection_id", "direction", "end_us"]).drop("end_us")
+    own = rested(found.withColumn("end_us", F.unix_micros("window_end")), ["selection_id", "direction"], "end_us", cooldown)
+    return own.filter("kept").drop("kept", "end_us")
+
+
+def votes(moved: DataFrame, min_delta: float = MIN_DELTA) -> DataFrame:
+    """Correlation of every window and selection with a lead: the mean vote (with, against, or none below the noise floor)."""
+    return candidates(moved, min_delta, max_lag=float("inf"), min_correlation=-1.0, min_followers=0).select("window_start", "selection_id", "lead_book_id", "correlation", "participating_books")

@@ -35,6 +35,26 @@ def round_robin(legs: DataFrame, size: int, most_legs: int = 12) -> DataFrame:
     return out.select("wager_id", *[f"leg_{i}" for i in range(size)], product(F.array(*[f"odds_{i}" for i in range(size)])).alias("decimal"))
 
 
+def round_robin_sizes(legs: DataFrame, sizes: list[int], most_legs: int = 10, most_tickets: int = MAX_ROUND_ROBIN) -> DataFrame:
+    """Every combination of each size of a ticket's legs: wager_id, size, its legs (ascending ids), decimal, reason.
+
+    A ticket of over ``most_legs`` legs, of fewer than a size, or of over ``most_tickets`` combinations is refused whole,
+    in a row of its own with the reason. Combinations are the set bits of a number below 2 to the legs' count.
+    """
+    own = legs.groupBy("wager_id").agg(F.array_sort(F.collect_list(F.struct("leg_id", "odds"))).alias("l"), F.count("*").alias("n"))
+    wanted = F.array(*map(F.lit, sizes))
+    ways = lambda n, k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda a, i: F.when(k >= i, a * (n - k + i) / i).otherwise(a))
+    total = F.aggregate(wanted, F.lit(0.0), lambda a, k: a + ways(F.col("n"), k))
+    reason = F.when(F.col("n") > most_legs, "too_many_legs").when(F.col("n") < max(sizes), "too_few_legs").when(total > most_tickets, "too_many_tickets")
+    own = own.withColumn("reason", reason)
+    bits = own.filter("reason IS NULL").withColumn("m", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, cast(n as int)) - 1"))))
+    bits = bits.withColumn("size", F.bit_count("m").cast("int")).filter(F.col("size").isin(sizes))
+    chosen = F.expr("filter(l, (x, i) -> (shiftright(m, i) & 1) = 1)")
+    out = bits.withColumn("c", chosen).select("wager_id", "size", F.array_join(F.transform("c", lambda x: x["leg_id"].cast("string")), ",").alias("legs"), product(F.transform("c", lambda x: x["odds"])).alias("decimal"), "reason")
+    no = own.filter("reason IS NOT NULL").select("wager_id", F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("legs"), F.lit(None).cast("double").alias("decimal"), "reason")
+    return out.unionByName(no)
+
+
 def grade(legs: DataFrame, games: DataFrame, draws: DataFrame | None = None) -> DataFrame:
     """Legs on finished events with won, lost, push or void; draws lists markets that quote a draw."""
     own = legs.join(games.filter("status IN ('final', 'cancelled')").select("event_id", F.col("status").alias("event_status"), "home_score", "away_score"), "event_id")
@@ -131,7 +151,12 @@ def go_months_back(t: Column, months: int = 1) -> Column:
 def limit_usage(limits: DataFrame, entries: DataFrame) -> DataFrame:
     """Use of every limit in its rolling window: negated sums of stakes."""
     start = F.when(F.col("period") == "day", F.col("now") - F.expr("INTERVAL 24 HOURS")).when(F.col("period") == "week", F.col("now") - F.expr("INTERVAL 7 DAYS")).otherwise(go_months_back(F.col("now")).cast("timestamp"))
-    own = limits.withColumn("since", start).join(entries.filter("account_kind = 'cash' AND kind = 'stake'").select("user_id", "amount_minor", "placed_at"), "user_id", "left")
+    own = limits.withColumn("since", start)
+    # stakes of the longest window, summed by user and instant, before they meet the limits
+    reach = own.agg(F.min("since").alias("lo"), F.max("now").alias("hi")).first()
+    staked = entries.filter("account_kind = 'cash' AND kind = 'stake'").filter((F.col("placed_at") >= F.lit(reach.lo)) & (F.col("placed_at") <= F.lit(reach.hi)))
+    staked = staked.groupBy("user_id", "placed_at").agg(F.sum("amount_minor").alias("amount_minor"))
+    own = own.join(staked, "user_id", "left")
     inside = (F.col("placed_at") >= F.col("since")) & (F.col("placed_at") <= F.col("now"))
     used = own.groupBy("user_id", "period", "limit_minor").agg(F.coalesce(-F.sum(F.when(inside, F.col("amount_minor"))), F.lit(0)).alias("used_minor"))
     return used.withColumn("breached", F.col("used_minor") > F.col("limit_minor"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAYLOAD = "id string, sport_key string, league string, home_team string, away_team string, bookmakers array<struct<key:string,last_update:timestamp,markets:array<struct<key:string,last_update:timestamp,outcomes:array<struct<name:string,price:double,point:double>>>>>>"
+PAYLOAD = "id string, sport_key string, league string, home_team string, away_team string, bookmakers array<struct<key:string,last_update:timestamp,markets:array<struct<key:string,last_update:timestamp,outcomes:array<struct<name:string,description:string,price:double,point:double>>>>>>"
 
 
 def read_payloads(raw: DataFrame) -> DataFrame:
@@ -18,20 +18,25 @@ def normalize(parsed: DataFrame) -> DataFrame:
     """Event, market, book and outcome rows with role, observation instant and reject reason (null: accepted).
 
     The market's instant counts, else the bookmaker's; without either the row is rejected, as are unknown market
-    keys, names that match no side, prices of one and below, and later quotes of a selection and book.
+    keys, names that match no side, props without a subject (the player, in the description), prices of one and below,
+    and later quotes of a selection and book. Props of one key are told apart by their subject; an outright's runner is
+    its subject.
     """
     books = parsed.filter("reason IS NULL").select("e.id", "e.home_team", "e.away_team", F.explode("e.bookmakers").alias("b"))
     marks = books.select("id", "home_team", "away_team", F.col("b.key").alias("book"), F.col("b.last_update").alias("book_at"), F.posexplode("b.markets").alias("mpos", "m"))
     rows = marks.select("id", "home_team", "away_team", "book", "mpos", F.col("m.key").alias("market_key"), F.coalesce("m.last_update", "book_at").alias("observed_at"), F.posexplode("m.outcomes").alias("pos", "o"))
-    kind = F.when(F.col("market_key") == "h2h", "moneyline").when(F.col("market_key") == "spreads", "spread").when(F.col("market_key") == "totals", "total").when(F.startswith(F.col("market_key"), F.lit("player_")), "prop")
+    kind = F.when(F.col("market_key") == "h2h", "moneyline").when(F.col("market_key") == "spreads", "spread").when(F.col("market_key") == "totals", "total").when(F.startswith(F.col("market_key"), F.lit("player_")), "prop").when(F.col("market_key") == "outrights", "outright")
     name = F.lower(F.trim("o.name"))
-    role = F.when(name == F.lower(F.trim("home_team")), "home").when(name == F.lower(F.trim("away_team")), "away").when(name.isin("over", "under", "draw"), name)
-    rows = rows.select("id", "book", "mpos", "pos", kind.alias("market_type"), role.alias("role"), F.col("o.price").alias("odds"), F.col("o.point").alias("line"), "observed_at")
+    role = F.when(name == F.lower(F.trim("home_team")), "home").when(name == F.lower(F.trim("away_team")), "away").when(name.isin("over", "under", "draw"), name).when((F.col("market_key") == "outrights") & (name != ""), "runner")
+    subject = F.when(kind == "prop", F.nullif(F.trim("o.description"), F.lit(""))).when(kind == "outright", F.trim("o.name"))
+    key = F.when(kind.isin("prop", "outright"), F.col("market_key"))
+    rows = rows.select("id", "book", "mpos", "pos", kind.alias("market_type"), key.alias("prop_key"), subject.alias("subject"), role.alias("role"), F.col("o.price").alias("odds"), F.col("o.point").alias("line"), "observed_at")
     first = F.min(F.struct("mpos", "pos"))
-    lead = rows.groupBy("id", "book", "market_type", "role").agg(first.alias("f"))
-    own = rows.join(lead, [rows["id"] == lead["id"], rows["book"] == lead["book"], rows["market_type"].eqNullSafe(lead["market_type"]), rows["role"].eqNullSafe(lead["role"])]).select(rows["*"], "f")
+    lead = rows.groupBy("id", "book", "market_type", "prop_key", "subject", "role").agg(first.alias("f"))
+    same = [rows["id"] == lead["id"], rows["book"] == lead["book"], *[rows[c].eqNullSafe(lead[c]) for c in ("market_type", "prop_key", "subject", "role")]]
+    own = rows.join(lead, same).select(rows["*"], "f")
     reason = (
-        F.when(F.col("market_type").isNull(), "unknown_market").when(F.col("role").isNull(), "unknown_outcome").when(F.col("observed_at").isNull(), "no_observation_time")
+        F.when(F.col("market_type").isNull(), "unknown_market").when((F.col("market_type") == "prop") & F.col("subject").isNull(), "missing_subject").when(F.col("role").isNull(), "unknown_outcome").when(F.col("observed_at").isNull(), "no_observation_time")
         .when(F.isnan("odds") | (F.col("odds") <= 1), "odds_out_of_range").when(F.struct("mpos", "pos") != F.col("f"), "duplicate_quote")
     )
     return own.withColumn("reason", reason).drop("f", "mpos", "pos")

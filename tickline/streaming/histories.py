@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def ohlc_stream(ticks: DataFrame, width: str, lateness: str, *keys: str) -> DataFrame:
     """Open, high, low, close and samples of each key and bucket, emitted once the watermark passes the bucket's end."""
     own = ticks.withWatermark("observed_at", lateness).groupBy(*keys, F.window("observed_at", width).alias("w"))
-    out = own.agg(F.min_by("odds", "observed_at").alias("open"), F.max("odds").alias("high"), F.min("odds").alias("low"), F.max_by("odds", "observed_at").alias("close"), F.count("*").alias("samples"))
+    out = own.agg(F.min_by("odds", F.struct("observed_at", "odds")).alias("open"), F.max("odds").alias("high"), F.min("odds").alias("low"), F.max_by("odds", F.struct("observed_at", "odds")).alias("close"), F.count("*").alias("samples"))
     return out.select(*keys, F.col("w.start").alias("bucket"), "open", "high", "low", "close", "samples")
 
 
