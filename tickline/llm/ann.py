@@ -80,6 +80,7 @@ def search(vec_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: n
         tied = np.flatnonzero(d == last)
         tied = tied[np.argsort(ids[first[rows[tied]]], kind="stable")[: k + 1]]  # each vector's smallest id decides
         near = np.concatenate([np.flatnonzero(d < last), tied])
+        d[near] = np.sqrt(np.cumsum(np.square(x[rows[near]] - own), axis=1)[:, -1])  # added in the order of components
         pairs = [(d[j], v) for j in near for v in np.unique(ids[first[rows[j]] : first[rows[j] + 1]])[: k + 1] if v != q]
         for s, v in sorted(pairs)[:k]:
             out_q.append(q)
