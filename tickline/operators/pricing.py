@@ -48,9 +48,23 @@ def resolve_reference(books: DataFrame, flagged: tuple[int, ...] = (0,), preferr
     return found.select("market_id", "market_type", "anchor", F.when(F.col("rank").isNotNull(), F.element_at(ids, F.col("rank").cast("int"))).alias("reference_book_id"), F.when(F.col("rank").isNull(), F.coalesce("reason", F.lit("absent"))).alias("reason"))
 
 
+def reference_books(books: DataFrame, flagged: tuple[int, ...] = (0,), preferred: tuple[int, ...] = (), max_age: float = MAX_REFERENCE_AGE) -> DataFrame:
+    """The snapshot of each market's reference book, as ``resolve_reference`` finds it; no join, one pass by market."""
+    candidates = [*dict.fromkeys([*sorted(flagged), *preferred])]
+    rank = F.array_position(F.array(*map(F.lit, candidates)), F.col("book_id"))
+    fine = F.col("book_id").isin(candidates) & F.col("complete") & (O.age_seconds(F.col("anchor"), F.col("oldest")) <= max_age)
+    own = books.filter(fine).withColumn("rank", rank)
+    return own.withColumn("best", F.min("rank").over(Window.partitionBy("market_id"))).filter("rank = best").drop("rank", "best")
+
+
 def fair_values(books: DataFrame, reference: DataFrame, method: str = "shin") -> DataFrame:
     """A row for every selection of a market with a reference: fair probability, fair decimal, disagreement, margin."""
     ref = books.join(reference.filter("reference_book_id IS NOT NULL").select("market_id", F.col("reference_book_id").alias("book_id")), ["market_id", "book_id"])
+    return fair_of(ref, method)
+
+
+def fair_of(ref: DataFrame, method: str = "shin") -> DataFrame:
+    """Fair values from the snapshots of reference books."""
     p = F.transform("quotes", lambda q: 1 / q["odds"])
     ref = ref.withColumn("p", p)
     every = {m: O.finish(f(F.col("p"))) for m, f in O.METHODS.items()}
@@ -90,7 +104,8 @@ def assess(latest: DataFrame, fair: DataFrame, max_quote_age: float = MAX_QUOTE_
 
 def ev_outcomes(assessed: DataFrame, min_percent: float = MIN_EV_PERCENT, max_age: float = EV_MAX_AGE, ratio: float = 1.0) -> DataFrame:
     """Adds ``outcome``: the first gate that a quote fails, or signal."""
-    uncertain = (F.col("disagreement") >= 0) & (F.col("ev") < ratio * F.col("disagreement") * F.col("odds"))
+    # a ratio of zero is no gate, and then the methods need not be compared
+    uncertain = (F.col("disagreement") >= 0) & (F.col("ev") < ratio * F.col("disagreement") * F.col("odds")) if ratio else F.lit(False)
     outcome = (
         F.when(F.col("status") != "priced", F.col("status")).when(F.col("ev") <= 0, "not_positive").when(F.col("ev") * 100 < min_percent, "below_threshold")
         .when(F.col("age") > max_age, "too_old").when(uncertain, "within_disagreement").otherwise("signal")

@@ -200,7 +200,7 @@ def m2(v: Views) -> DataFrame:
 
 def _fair(v: Views, every: bool = False) -> DataFrame:
     """Fair values: where Shin's method holds, or of every market with a reference."""
-    fair = pricing.fair_values(*_reference(v))
+    fair = pricing.fair_of(pricing.reference_books(pricing.book_snapshots(v.latest), (0,), (1,), WIDE))
     return fair if every else fair.filter("NOT fallback")
 
 
@@ -280,10 +280,11 @@ gated AS (SELECT *, CASE WHEN status = 'priced' THEN fair_prob * odds - 1 END AS
 
 
 def _assessed(v: Views, every: bool = False) -> DataFrame:
-    return pricing.assess(v.latest, _fair(v, every), WIDE)
+    return pricing.assess(v.latest, _fair(v, every).drop("disagreement", "overround"), WIDE)
 
 
 def _gated(v: Views, every: bool = False) -> DataFrame:
+    """Outcomes without the gate of the methods' disagreement, which ``m11_ev_signals_gated`` has."""
     return pricing.ev_outcomes(_assessed(v, every), max_age=WIDE, ratio=0.0)
 
 
