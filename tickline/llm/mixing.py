@@ -26,6 +26,8 @@ from tickline.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
 BLOCK, SLOTS, SEED = 256, 16384, 20
+#: Most tasks that place slots.
+PLACERS = 4096
 
 
 def targets(sizes: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
@@ -110,8 +112,9 @@ def _slots(spark, plan: list[tuple[str | None, int, float]]) -> DataFrame:
 
     before_row = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ordered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before_row), F.lit(0)))
-    # dealt by block before the join, so that the join knows the slots' size, not that of the draws
-    return ordered.mapInPandas(place, "shard long, src long, turn long, block long, words long").repartition("src", "block")
+    # the window deals its few narrow rows by source; the slots come from tasks of a few shards each
+    spread = ordered.repartition(min(shards, PLACERS), "shard")
+    return spread.mapInPandas(place, "shard long, src long, turn long, block long, words long")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -151,7 +154,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = F.col("block") * BLOCK
     lo = F.greatest(F.col("begin"), at) - F.col("begin")
     hi = F.least(F.col("begin") + F.col("size"), at + F.col("words")) - F.col("begin")
-    taken = pieces.join(slots, ["src", "block"]).select("doc_id", "h", "src", "begin", "size", "turn", lo.alias("lo"), hi.alias("hi"))
+    # both sides grow with the words: the hint keeps either from being broadcast on an estimate
+    taken = pieces.join(slots.hint("merge"), ["src", "block"]).select("doc_id", "h", "src", "begin", "size", "turn", lo.alias("lo"), hi.alias("hi"))
     return rows, taken.filter("hi > lo")
 
 
@@ -164,7 +168,7 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("nth", nth(["size"]))
     sums = sums.withColumn("nth", nth([F.desc("taken"), "begin"])).withColumnRenamed("doc_id", "id").withColumnRenamed("size", "own")
     same = (rows["src"] == sums["src"]) & rows["doc_id"].eqNullSafe(sums["id"]) & (rows["h"] == sums["h"]) & (rows["nth"] == sums["nth"])
-    return rows.join(sums, same, "left").select("doc_id", rows["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.join(sums.hint("merge"), same, "left").select("doc_id", rows["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -176,13 +180,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     _, taken = mix(docs)
     span = F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans")
-    spans = taken.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_mh"), "turn", "begin", F.col("size").alias("_size")).agg(span).drop("turn", "begin")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))).filter("_n = 1")
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (keyed["_h"] == spans["_mh"]))
+    row = {"_d": F.coalesce("doc_id", F.lit(0).cast("long")), "_z": F.col("doc_id").isNull()}
+    key = ["_d", "_z", "_h"]
+    spans = taken.withColumns(row).groupBy(*key[:2], F.col("h").alias("_h"), "turn", "begin", F.col("size").alias("_size")).agg(span).drop("turn", "begin")
+    # texts move once: equal rows become one before they move, and the join finds its side dealt by the same key
+    one = docs.withColumns(row | {"_h": F.xxhash64("text")}).dropDuplicates(key)
+    joined = one.join(spans.hint("merge"), key)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), " ")
     whole = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]) == F.col("_size")
     text = F.when(whole, F.col("text")).otherwise(part)
-    new = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else keyed[c] for c in docs.columns])
+    joined = joined.withColumn("_text", text)  # a step of its own: beside an alias named text, lambdas would take that for the text
+    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
