@@ -6,10 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+#: Longest text that a model is fitted on; all texts are scored whole.
+FIT_CHARS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder URI under ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """A new folder URI under ``spark.checkpoint.dir``; only where that is unset on a local master (tests) one of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tickline-"))
         base = _OWN_DIR[0]
@@ -50,21 +55,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, l
 
     Rows of the left-out fold, of null labels and of null texts never come. The choice is by a hash of
     the id (with ``halves``, up to half of the rows for either label), so it does not depend on order or partitions; only ids are sorted, and texts are read for the
-    chosen ids alone (a broadcast of at most ``limit`` rows).
+    chosen ids alone (a broadcast of at most ``limit`` rows). Of rows of one id the least text counts. Texts of over
+    ``FIT_CHARS`` characters are not fitted on, so at most ``limit * FIT_CHARS`` characters reach the driver.
     """
     own = labels.filter((fold("doc_id", mod) != left_out) & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.max(target).alias("label"))
     chosen = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     pick = chosen(own, limit) if not halves else chosen(own.filter("label > 0"), limit // 2).union(chosen(own.filter("label <= 0"), limit - limit // 2))
     text = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull())
-    rows = text.join(F.broadcast(pick), "doc_id").collect()
+    rows = text.join(F.broadcast(pick), "doc_id").filter(F.length("text") <= FIT_CHARS)
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "label", "t.*").collect()
     return sorted(rows, key=lambda r: (r.doc_id, r.text))
 
 
 class Memo(dict):
     """A dictionary that computes missing entries and forgets all of them beyond ``most``."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 120_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -86,6 +93,7 @@ def slices(batch, rows: int = 512, most_bytes: int = 4_000_000, text: int = 1):
         total += n
     if len(sizes) > start:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # what Arrow keeps of freed batches adds up in workers that live long
 
 
 def _byte_sizes(column) -> list:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickline.llm.common import fold, slices
+from tickline.llm.common import FIT_CHARS, fold, slices
 
 UNKNOWN = "und"
 HIDDEN, WINDOW = 12, 24
@@ -135,14 +135,16 @@ def fit(docs: DataFrame) -> tuple[list[str], dict] | None:
     """Fit on at most ``SAMPLE_DOCS`` documents a language (crc32 mod 4 is not 2) and ``SAMPLE_WORDS`` words of each.
 
     Ids are chosen by their hash; words by a hash too, over the whole text. Languages are the non-null lang values
-    of fitting documents; their number must stay small (a model output each).
+    of fitting documents; their number must stay small (a model output each). Of rows of one id the least text
+    counts, and texts of over ``FIT_CHARS`` characters are not fitted on, which bounds what reaches the driver.
     """
     own = docs.select("doc_id", "lang").filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull())
     h = F.xxhash64("doc_id")
     # the smallest hashes of each language, first within salted groups, so that no task holds a language's rows
     some = own.withColumn("h", h).withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))).filter(F.col("n") <= SAMPLE_DOCS)
     pick = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("n") <= SAMPLE_DOCS).select("doc_id").distinct()
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).join(F.broadcast(pick), "doc_id").collect()
+    rows = docs.select("doc_id", "text", "lang").filter((F.length("text") <= FIT_CHARS) & F.col("lang").isNotNull()).join(F.broadcast(pick), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.*").collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
