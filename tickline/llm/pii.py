@@ -1,6 +1,6 @@
 """Personal data: detection and keyed surrogates, by DataFrame and SQL functions alone.
 
-Kinds: EMAIL, IP, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned secrets) and PERSON (all
+Kinds: EMAIL, IP, IP6 (all eight groups), SSN, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned secrets) and PERSON (all
 capitalised words behind a title, and each of them wherever it recurs with a capital in the same text). An entity is its kind and normal form (lower-case; digits alone for numbers; a name is each of its
 words), so spellings of one entity share a surrogate. A surrogate replaces letters by letters and digits by digits
 at their places: vowels by vowels and other letters by other letters of the same script and case, and signs,
@@ -9,7 +9,11 @@ surrogates that pass it; IP octets stay octets; titles and a name's last letter
 
 Surrogates come from SHA-256 of key, kind, normal form and draw number. Drawing goes on for entities whose
 surrogate another entity has (the smaller keeps it) or that is itself an entity of the corpus, so distinct stays
-distinct and no surrogate is a real value.
+distinct and no surrogate is a real value. After every ``WIDEN`` draws in vain a format is nearly used up, and the
+surrogate gets a character more, so drawing ends for any number of entities.
+
+Searches are bounded: no mail address with over 64 characters before the @ is found, no name word of over 60 letters;
+of a secret the first 4,096 characters are replaced; names have at most 50 words. So time is linear in a text.
 
 Cases: null texts stay null; texts without entities stay as they are, to the byte; repeated rows get equal
 results; null ids are no obstacle (rows join by their text's hash); an empty table gives an empty result; all other
@@ -24,7 +28,10 @@ from pyspark.sql import functions as F
 from tickline.llm.common import stored
 
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа|Κύριος|Κυρία"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
+#: Repeats are bounded, so that no text makes the search deep or slow: 64 characters before the @, 60 labels of 63.
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,60}[A-Za-z]{2,63}"
+IP6 = r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)"
 CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\-]?\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?!\w)"
@@ -33,14 +40,19 @@ COUNTRY = r"^\+(?:1(?=\d{10}$)|\d{1,3}[ .\-]|\d{1,3}(?=\()|\d{2}(?=\d{7,}$))"
 QUOTE = r"(?:\\?[\"'`“”„‘’«»])?"
 #: What may stand between a secret's label and its value; a value needs a letter or digit, else it had no surrogate.
 ASSIGN = rf"{QUOTE}[ \t]*\s?[=:][ \t]*\s?{QUOTE}"
-KEY = rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key){ASSIGN}(?=[_\-]*[A-Za-z0-9])[A-Za-z0-9_\-]{{6,}}|\b(?:ghp|gho|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{{16,}}"
+KEY = rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|\b(?i:password|passwd|pwd|secret|token|api[_\-]?key){ASSIGN}(?=[_\-]{{0,99}}[A-Za-z0-9])[A-Za-z0-9_\-]{{6,4096}}|\b(?:ghp|gho|sk|pk|xox[bp])[_\-][A-Za-z0-9_\-]{{16,4096}}"
 TITLE = rf"\b(?:{TITLES})\b\.?"
 #: A capitalised word that is no title; a possessive s is left out.
-WORD = rf"(?!(?:{TITLES})\b)\p{{Lu}}(?:\p{{L}}|['’\-](?=\p{{L}})(?!s\b))+"
-NAME = rf"{TITLE}(?: {TITLE})* {WORD}(?: {WORD})*"
-ANY = "|".join((EMAIL, KEY, IP, CARD, PHONE, NAME))
+_TAIL = r"(?:['’\-](?!s\b)\p{L}{1,60}+)"
+WORD = rf"(?!(?:{TITLES})\b)\p{{Lu}}(?:\p{{L}}{{1,60}}+{_TAIL}{{0,6}}|{_TAIL}{{1,6}})(?!\p{{L}})"
+NAME = rf"{TITLE}(?: {TITLE}){{0,9}} {WORD}(?: {WORD}){{0,49}}"
+ANY = "|".join((EMAIL, KEY, IP6, IP, SSN, CARD, PHONE, NAME))
 #: Cheap signs that a text may hold an entity at all.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api.?key)|\b(?:AKIA|ASIA)[A-Z]|\b(?:ghp|gho|sk|pk|xox[bp])[_\-]|\b(?:{TITLES})\b"
+#: Kinds whose signs stay and whose digits alone count.
+NUMBERS = ("CARD", "PHONE", "SSN")
+#: After so many draws in vain a format is taken to be nearly full, and the surrogate gets a character more.
+WIDEN = 12
 VOWELS, REST = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Letters by script: vowels, others.
 ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеиоуэюя", "бвгджзклмнпрстфхцчш"), (r"\p{IsGreek}", "αεηιουω", "βγδζθκλμνξπρστφχψ"))
@@ -49,7 +61,7 @@ ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеиоуэюя", "
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.rlike(f"^(?:{EMAIL})$"), "EMAIL").when(m.rlike(f"^(?:{KEY})$"), "KEY").when(m.rlike(f"^(?:{IP})$"), "IP")
-        .when(m.rlike(f"^(?:{CARD})$"), "CARD").when(m.rlike(f"^(?:{NAME}|{WORD})$"), "PERSON").otherwise("PHONE")
+        .when(m.rlike(f"^(?:{IP6})$"), "IP6").when(m.rlike(f"^(?:{SSN})$"), "SSN").when(m.rlike(f"^(?:{CARD})$"), "CARD").when(m.rlike(f"^(?:{NAME}|{WORD})$"), "PERSON").otherwise("PHONE")
     )
 
 
@@ -73,7 +85,7 @@ def _parts(kind: Column, m: Column) -> Column:
 
 def _norm(kind: Column, part: Column) -> Column:
     digits = F.regexp_replace(part, r"\D", "")
-    return F.when(kind.isin("CARD", "PHONE"), digits).when(kind == "KEY", part).otherwise(F.lower(part))
+    return F.when(kind.isin(*NUMBERS), digits).when(kind == "KEY", part).otherwise(F.lower(part))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -87,10 +99,18 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), byte % len(alphabet) + 1, F.lit(1))
 
 
+def widened(kind: Column, norm: Column, times: Column) -> Column:
+    """A longer format of the same kind: octets get a leading digit, numbers and keys an end, others a beginning."""
+    octets = F.when(times > 1, F.regexp_replace(F.regexp_replace(norm, r"\b(\d{1,2})\b", "1$1"), r"\b(\d{1,2})\b", "1$1")).otherwise(F.regexp_replace(norm, r"\b(\d{1,2})\b", "1$1"))
+    longer = F.when(kind == "IP", octets).when(kind.isin("KEY", *NUMBERS), F.concat(norm, F.repeat(F.right(norm, F.lit(1)), times)))
+    return F.when(times > 0, longer.otherwise(F.concat(F.repeat(F.left(norm, F.lit(1)), times), norm))).otherwise(norm)
+
+
 def draw(kind: Column, norm: Column, n: Column, key: str) -> Column:
-    """The n-th candidate surrogate of a normal form: same length, each character from its own class."""
+    """The n-th candidate surrogate of a normal form: each character from its own class, the length the same for the first draws."""
+    seed, valid = F.concat_ws("\x1f", F.lit(key), kind, norm, n.cast("string")), luhn_sum(norm) % 10 == 0
+    norm = widened(kind, norm, F.floor(n / WIDEN).cast("int"))
     chars = F.filter(F.split(norm, ""), lambda c: c != "")
-    seed = F.concat_ws("\x1f", F.lit(key), kind, norm, n.cast("string"))
     # 32 pseudorandom bytes a digest; as many digests as the value needs
     pool = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / 32).cast("int")), lambda k: F.sha2(F.concat_ws("\x1f", seed, k.cast("string")), 256)), "")
     size = F.length(norm)
@@ -104,7 +124,8 @@ def draw(kind: Column, norm: Column, n: Column, key: str) -> Column:
         out = out.when((kind == "PERSON") & (i == size - 1) & (size > 2), c)
         out = out.when((kind == "KEY") & (i < 4) & norm.rlike("^(?:AKIA|ASIA)"), c)
         out = out.when((kind == "IP") & c.rlike(r"\d"), F.when(first_octet_digit & short_octet, "1").when(first_octet_digit, _pick("123456789", byte)).otherwise(_pick("0123456789", byte)))
-        out = out.when(kind.isin("CARD", "PHONE") & (i == 0), F.when(c == "0", c).otherwise(F.when(kind == "CARD", c).otherwise(_pick("23456789", byte))))
+        out = out.when((kind == "IP6") & c.rlike("[a-f]"), _pick("abcdef", byte))
+        out = out.when(kind.isin(*NUMBERS) & (i == 0), F.when(c == "0", c).otherwise(F.when(kind == "CARD", c).otherwise(_pick("23456789", byte))))
         out = out.when(c.rlike(r"\d"), _pick("0123456789", byte))
         for script, vowels, rest in ALPHABETS:
             out = out.when(c.rlike(f"^{script}$"), F.when(c.rlike(f"[{vowels}]"), _pick(vowels, byte)).otherwise(_pick(rest, byte)))
@@ -114,7 +135,7 @@ def draw(kind: Column, norm: Column, n: Column, key: str) -> Column:
     made = F.array_join(F.transform(chars, one), "")
     body = F.substring(made, F.lit(1), size - 1)
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when((kind == "CARD") & (luhn_sum(norm) % 10 == 0), F.concat(body, check.cast("string"))).otherwise(made)
+    return F.when((kind == "CARD") & valid, F.concat(body, check.cast("string"))).otherwise(made)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -136,18 +157,18 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         turn += 1
         if pending.isEmpty():
             return done
-        if turn > 200:
-            raise ValueError("a format has fewer values than the corpus has entities of it")
 
 
 def render(part: Column, norm: Column, surrogate: Column, kind: Column) -> Column:
     """The surrogate in the spelling of the part: its signs and its letters' case."""
     chars = F.split(part, "")
-    kept = F.when(kind.isin("CARD", "PHONE"), r"\d").otherwise(".")
+    kept = F.when(kind.isin(*NUMBERS), r"\d").otherwise(".")
+    last = F.when(kept == ".", F.length(part)).otherwise(F.length(F.regexp_replace(part, r"\D", "")))
     place = F.transform(chars, lambda c, i: F.when(kept == ".", i + 1).otherwise(F.length(F.regexp_replace(F.substring(part, F.lit(1), i + 1), r"\D", ""))))
 
     def one(c: Column, i: Column) -> Column:
-        new = F.substring(surrogate, F.element_at(place, i + 1), F.lit(1))
+        at = F.element_at(place, i + 1)
+        new = F.substring(surrogate, at, F.when(at == last, 1_000_000).otherwise(1))  # a wider format ends where the part does
         takes = (kept == ".") | c.rlike(r"\d")
         return F.when(takes, F.when((F.upper(c) == c) & (F.lower(c) != c), F.upper(new)).otherwise(new)).otherwise(c)
 
@@ -183,9 +204,10 @@ def pseudonymize(docs: DataFrame, key: str = "surrogate-key-1") -> tuple[DataFra
     joined = own.join(maps, (F.col("_h") == F.col("_mh")) & (F.col("_h2") == F.col("_mh2")))
     between = F.when(titled, F.split("text", _pattern(F.col("text")), -1)).otherwise(F.split("text", f"(?:{ANY})", -1))
     text = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.col("_m").alias("m")), lambda x: F.concat(x["b"], F.coalesce(F.element_at("_map", x["m"]), F.lit("")))), "")
-    new = {"text": text}
+    joined = joined.withColumn("_text", text)
+    new = {"text": F.col("_text")}
     if "n_chars" in cols:
-        new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+        new["n_chars"] = F.length("_text").cast(dict(docs.dtypes)["n_chars"])
     clean = marked.filter(~has)
     counted = joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in cols], F.size("_m").alias("_n"), F.col("_kinds"))
     return counted.unionByName(clean.select(*[F.col(f"`{c}`") for c in cols], F.lit(0).alias("_n"), F.array().cast("array<string>").alias("_kinds"))), chosen
