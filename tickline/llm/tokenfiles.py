@@ -35,6 +35,8 @@ FIRST, LAST, PER_ROUND, RARE = 50_257, 65_536, 5_000, 12
 NEAR_TOP = 2
 SLOT_BITS = 18
 SHARD_IDS = 4_000_000
+#: Most tasks that read shards back; each reads its shards one after the other.
+READERS = 20_000
 END = 0
 
 
@@ -48,15 +50,16 @@ class LibraryEncoder:
 
     The split pattern never joins white space with what precedes it unless that is white space too. So where a
     text's white space is single spaces and line ends, its ids are those of its stretches, each with its space,
-    and every distinct stretch goes through the library once while it is kept.
+    and every distinct stretch goes through the library once while it is kept. Texts that name a special token go
+    through the library whole.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.most = most
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         # the library's own byte alphabet, as its pre-tokenizer maps bytes
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printed]
@@ -86,7 +89,7 @@ class LibraryEncoder:
             self.forget()
         rows = []
         for t in texts:
-            if t == "" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _RARE_SPACE.search(t):
+            if t == "" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _RARE_SPACE.search(t) or any(a in t for a in self.added):
                 rows.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint16))
                 continue
             parts = t.replace("\n", " \n").split(" ")
@@ -300,7 +303,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, shards.count())
+    n = max(1, min(shards.count(), READERS))
     return shards.select("path", "base").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
