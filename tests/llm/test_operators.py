@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from tickline.llm import ann, bpe, langid, media, mixing, neardup, pii, quality, tokenfiles, toxicity
+from tickline.llm import ann, bpe, langid, media, mixing, neardup, pii, quality, queries, tokenfiles, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
 LONG = "word " * 30_000
@@ -71,6 +71,43 @@ def test_pii_names_of_many_words_and_later_mentions(spark):
     assert out[2].text == texts[2] and out[3].text.startswith(f"Mr. {m[1]} Mrs. ") and "Jones" not in out[3].text
 
 
+def test_pii_bears_long_runs_and_many_labels(spark):
+    texts = ["aB3" * 350_000, "x@" + "a." * 5000 + "com", "Mr. " + "A" + "b" * 200_000, "Dr. " + "Ab Cd " * 5000, "a." * 200_000, "password" + " " * 100_000, "token=" + "a1" * 4000, "1" * 300_000, "joe@ab.com " * 3000]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in pii.surrogate_texts(own).collect()}
+    assert len(out) == len(texts) and all(out[i].text == texts[i] for i in (0, 2, 4, 5, 7))
+    assert out[8].n_entities == 3000 and "joe@" not in out[8].text and out[6].text != texts[6] and out[3].text != texts[3]
+
+
+def test_pii_of_more_entities_than_their_format_has_values(spark):
+    names = [(a + b).capitalize() for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    ents = spark.createDataFrame([("PERSON", n.lower()) for n in names] + [("IP", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)], "kind string, norm string")
+    got = pii.surrogates(ents, "k").collect()
+    real = {r.norm for r in got}
+    assert len({(r.kind, r.surrogate) for r in got}) == len(got) == len(names) + 81 and not real & {r.surrogate for r in got}
+    assert all(0 <= int(o) <= 255 for r in got if r.kind == "IP" for o in r.surrogate.split("."))
+    own = spark.createDataFrame([(i, f"Mr. {n} was here.") for i, n in enumerate(names)], "doc_id long, text string")
+    out = [re.fullmatch(r"Mr\. (\p{L}+) was here\.".replace(r"\p{L}", r"\w"), r.text)[1] for r in pii.surrogate_texts(own).collect()]
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
+def test_pii_finds_what_a_plain_search_finds(spark):
+    """Brute force: words are cut at spaces, and each is held against the plainest description of its kind."""
+    rng = np.random.default_rng(8)
+    made = {
+        "EMAIL": lambda: f"{''.join(rng.choice(list('abcxyz019.'), 5))}q@{''.join(rng.choice(list('abc'), 4))}.{rng.choice(['com', 'org', 'co.uk'])}".lstrip("."),
+        "IP": lambda: ".".join(map(str, rng.integers(0, 256, 4))), "SSN": lambda: f"{rng.integers(100, 999)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}",
+        "IP6": lambda: ":".join(f"{x:x}" for x in rng.integers(0, 65536, 8)), "PHONE": lambda: f"+{rng.integers(10**10, 10**11)}", None: lambda: "".join(rng.choice(list("abcdeXYZ"), 6)),
+    }
+    kinds = [[list(made)[k] for k in rng.integers(0, len(made), 12)] for _ in range(60)]
+    words = [[made[k]() for k in own] for own in kinds]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    for r in pii.surrogate_texts(df).collect():
+        new = r.text.split(" ")
+        assert [a != b for a, b in zip(new, words[r.doc_id], strict=True)] == [k is not None for k in kinds[r.doc_id]], (new, words[r.doc_id])
+        assert r.kinds == ",".join(sorted({k for k in kinds[r.doc_id] if k}))
+
+
 def test_surrogates_collide_neither_with_each_other_nor_with_entities(spark):
     ents = spark.range(150).select(F.lit("IP").alias("kind"), F.concat_ws(".", F.lit("9"), F.lit("8"), (F.col("id") % 9 + 1).cast("string"), (F.col("id") % 7 + 1).cast("string")).alias("norm")).distinct()
     got = pii.surrogates(ents, "k").collect()
@@ -94,6 +131,40 @@ def test_mixing(spark, docs, empty):
     assert sorted(mixing.permuted(n, np.full(1000, 1000), np.full(1000, 7))) == n.tolist()
 
 
+def test_mixed_documents_word_by_word(spark, docs, empty):
+    """Every word of the table is its own, so that a plain count tells what the mix took of each."""
+    rng = np.random.default_rng(3)
+    sizes = [int(n) for n in rng.integers(1, 900, 120)]
+    source = [["a", "b", "c", None][int(k)] for k in rng.choice(4, 120, p=[0.55, 0.1, 0.25, 0.1])]
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(n)), source[i], n, "z") for i, n in enumerate(sizes)]
+    own = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, source string, n_chars long, turn string").repartition(5)
+    out = mixing.mixed_documents(own).collect()
+    seen, per = Counter(), Counter()
+    for r in out:
+        at = [tuple(map(int, w[1:].split("_"))) for w in r.text.split(" ")]
+        assert {i for i, _ in at} == {r.doc_id} and at == sorted(set(at)) and r.n_chars == len(r.text) and r.source == source[r.doc_id]
+        if len(at) == sizes[r.doc_id]:
+            assert r.text == rows[r.doc_id][1]
+        seen.update(at)
+        per[r.source] += len(at)
+    totals = Counter()
+    for i in [*range(120), 5]:
+        totals[source[i]] += sizes[i]
+    want = {s: (n, t) for s, n, t in mixing.targets(list(totals.items()))}
+    assert all(abs(per[s] - t) <= 1 for s, (n, t) in want.items())
+    for i, n in enumerate(sizes):
+        whole, most = int(want[source[i]][1] // want[source[i]][0]), -(-want[source[i]][1] // want[source[i]][0])
+        copies = 2 if i == 5 else 1
+        assert all(copies * whole <= seen[i, j] <= copies * most for j in range(n))
+    taken = {r.doc_id: 0 for r in mixing.mixed_sizes(own).collect()}
+    for r in mixing.mixed_sizes(own).collect():
+        taken[r.doc_id] += r.taken
+        assert (r["size"], r.source_size) == (sizes[r.doc_id], totals[source[r.doc_id]]) and abs(r.target - want[source[r.doc_id]][1]) < 1e-6
+    assert taken == {i: sum(seen[i, j] for j in range(n)) for i, n in enumerate(sizes)}
+    odd = mixing.mixed_documents(docs).collect()
+    assert all(r.text and r.n_chars == len(r.text) for r in odd) and mixing.mixed_documents(empty).count() == 0
+
+
 def brute_components(rows, k, share):
     sets = {}
     for i, t in rows:
@@ -146,6 +217,18 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[301] == 300
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_duckdb(spark, name):
+    import duckdb
+
+    con, base = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    got = con.execute(queries.ORACLE_SQL[name])
+    cols = [d[0] for d in got.description]
+    assert sorted(map(str, queries.QUERIES[name](spark, base).select(cols).toPandas().itertuples(index=False, name=None))) == sorted(map(str, [tuple(r) for r in got.fetchall()]))
+
+
 def test_bpe(spark, docs, empty):
     import tiktoken
 
@@ -161,6 +244,25 @@ def test_bpe(spark, docs, empty):
     assert len(got) == docs.count() and bpe.token_digests(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_pieces():
+    """Pieces of up to 20,000 bytes give the library's ids, and one of a million bytes is done in a few steps."""
+    import random
+
+    import tiktoken
+
+    path, draw = P.path("byte_bpe_50k.tiktoken"), random.Random(1)
+    own = bpe.Encoder(path, P.PATTERN)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(own.tokens)}, special_tokens={})
+    texts = ["x" * 3001, "ab" * 3000, "abcabcab" * 500, "the" * 4000, "aaab" * 2000, "-_=" * 3000, "=" * 4999, "日本" * 900, "thein" * 3000, "a" * 32, "a" * 33]
+    texts += ["".join(draw.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 20_000), ("theinrs", 5000), ("аеиоубвг", 3000))]
+    texts += ["".join(draw.choice("abethinorsd \n.,1é中'") for _ in range(draw.randint(0, 120))) for _ in range(3000)]
+    ids = own.encode(texts)
+    assert all(a.tolist() == lib.encode_ordinary(t) for a, t in zip(ids, texts, strict=True))
+    assert own.decoded_hashes(ids) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    big = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    assert own.decoded_hashes(own.encode([big])) == [hashlib.sha256(big.encode()).hexdigest()]
+
+
 def test_media(spark, docs, empty):
     text = {r.doc_id: r.text for r in docs.collect()}
     got = media.media_columns(docs).collect()
@@ -230,6 +332,18 @@ def test_token_files(spark, docs, empty):
     assert tokenfiles.token_files(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_of_texts_with_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    names = [t.content for t in lib.get_added_tokens_decoder().values()]
+    texts = [t for n in names[:3] for t in (n, f"a {n} b", f"one{n}two{n}", f"{n}\n", n[:-1], f"x {n[:-1]} y")]
+    got = {r.doc_id: r for r in tokenfiles.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     docs = [np.append(rng.choice([5, 6, 7, 50_000], n), 0).astype(np.uint16) for n in (0, 1, 900, 3000, 7, 7)] + [np.full(500, 9, np.uint16)]
