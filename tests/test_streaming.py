@@ -42,3 +42,20 @@ def test_steam_stream_equals_batch(spark):
     got = {(r.selection_id, r.window_end_us, r.lead_book_id, round(r.lead_delta, 9), r.followers, round(r.correlation, 9), r.books) for r in rows if r.kind == "finding"}
     assert got == want and want
     assert all(r.n == 0 for r in rows if r.kind in ("late", "skipped"))
+
+
+def test_signals_stream_keeps_what_each_batch_found(spark):
+    from tickline.operators import pricing
+    from tickline.plans import catalog, catalog3  # noqa: F401
+    from tickline.plans.model import Views
+
+    v = Views(spark, SF)
+    half = F.lit("1996-01-01").cast("timestamp")
+    found = set()
+    for q in (v.quotes.filter(F.col("observed_at") < half), v.quotes):
+        found |= {(r.market_id, r.selection_id, r.observed_at) for r in pricing.best_quotes(pricing.newest(q), catalog.WIDE).collect()}
+    got = {r.market_id: r for r in catalog.QUERIES["r5_signals_stream"](spark, SF).collect()}
+    want = {}
+    for m, _, _ in found:
+        want[m] = want.get(m, 0) + 1
+    assert {m: r.signals for m, r in got.items()} == want and all(r.messages >= r.signals for r in got.values())
