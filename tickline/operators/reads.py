@@ -36,6 +36,13 @@ def apply_results(events: DataFrame, results: DataFrame, terminal: tuple[str, ..
     return own.select(*[F.when(take, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("status", "home_score", "away_score") else F.col(c) for c in events.columns])
 
 
+def set_status(accounts: DataFrame, requests: DataFrame, key: str, terminal: tuple[str, ...]) -> DataFrame:
+    """Requested statuses (one a key) onto accounts: unknown keys add nothing, a terminal status stays as it is."""
+    own = accounts.join(requests.select(key, F.col("status").alias("_new")), key, "left")
+    take = F.col("_new").isNotNull() & ~F.coalesce(F.col("status").isin(*terminal), F.lit(False))
+    return own.withColumn("status", F.when(take, F.col("_new")).otherwise(F.col("status"))).drop("_new")
+
+
 def superseded(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Each row with the instant at which the next one of its key replaces it."""
     return rows.withColumn("superseded_at", F.lead(at).over(Window.partitionBy(*keys).orderBy(at)))

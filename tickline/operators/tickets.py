@@ -76,7 +76,8 @@ def decide(tickets: DataFrame, graded: DataFrame, leg_counts: DataFrame) -> Data
     """Outcome and returned amount of tickets whose legs are all graded.
 
     Any lost leg loses; without a winner it is void if a leg is void, else push, and the stake goes back; all won
-    pays in full; else removed legs divide out of the decimal, which never falls below one.
+    pays in full; else removed legs divide out of the decimal, which never falls below one. A teaser (``kind``, where
+    tickets have it) that would win with a removed leg is void instead: its price holds for its own legs alone.
     """
     own = graded.groupBy("wager_id").agg(
         *[F.count_if(F.col("result") == r).alias(r) for r in ("won", "lost", "push", "void")], F.count("*").alias("graded"),
@@ -85,7 +86,8 @@ def decide(tickets: DataFrame, graded: DataFrame, leg_counts: DataFrame) -> Data
     own = own.join(leg_counts, "wager_id").filter("graded = n_legs").join(tickets, "wager_id")
     own = own.withColumn("accepted", product(F.col("all_odds")))
     left = F.greatest(F.aggregate("removed", F.col("accepted"), lambda a, x: a / x["odds"]), F.lit(1.0))
-    status = F.when(F.col("lost") > 0, "lost").when(F.col("won") == 0, F.when(F.col("void") > 0, "void").otherwise("push")).otherwise("won")
+    cut_teaser = (F.col("kind") == "teaser") & (F.size("removed") > 0) if "kind" in tickets.columns else F.lit(False)
+    status = F.when(F.col("lost") > 0, "lost").when(F.col("won") == 0, F.when(F.col("void") > 0, "void").otherwise("push")).when(cut_teaser, "void").otherwise("won")
     paid = O.rounded_money(F.col("stake_minor") * F.when(F.size("removed") == 0, F.col("accepted")).otherwise(left), F.col("rounding"))
     returned = F.when(status == "lost", F.lit(0).cast("long")).when(status == "won", F.greatest(paid, F.col("stake_minor"))).otherwise(F.col("stake_minor"))
     return own.select("wager_id", "user_id", "stake_minor", "placed_at", "accepted", status.alias("status"), returned.alias("returned_minor"), (returned - F.col("stake_minor")).alias("net_return_minor"))

@@ -59,7 +59,7 @@ def s4(v: Views) -> DataFrame:
 def s6(v: Views) -> DataFrame:
     q = v.quotes
     batch = q.filter(F.col("observed_at") >= F.lit("1995-06-01").cast("timestamp"))
-    new = reads.append_new(q.filter(F.col("observed_at") < _half()), batch.unionByName(batch.limit(100)), ["selection_id", "book_id", "observed_at"])
+    new = reads.append_new(q.filter(F.col("observed_at") < _half()), batch.unionByName(batch), ["selection_id", "book_id", "observed_at"])
     return new.agg(F.count("*").alias("appended"), F.countDistinct("selection_id").alias("selections"))
 
 
@@ -527,7 +527,8 @@ def k15(v: Views) -> DataFrame:
 def t6(v: Views) -> DataFrame:
     lead = _moves(v).filter(F.abs("delta") >= 0.05).select("window_start", "selection_id").distinct()
     every = steam.candidates(_moves(v), max_lag=43200.0, min_correlation=-1.0)
-    return lead.agg(F.count("*").alias("examined")).crossJoin(every.agg(F.count("*").alias("followed"), F.count_if(F.col("correlation") >= 0.5).alias("passed")))
+    both = lead.select(F.lit(None).cast("double").alias("c"), F.lit(True).alias("led")).unionByName(every.select(F.col("correlation").alias("c"), F.lit(False).alias("led")))
+    return both.agg(F.count_if("led").alias("examined"), F.count_if(~F.col("led")).alias("followed"), F.count_if(~F.col("led") & (F.col("c") >= 0.5)).alias("passed"))
 
 
 # ---- whole rows and amounts beside the counts above ---------------------------------------------------------------

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickline.functions import odds as O
 from tickline.operators import changes, clv, copula, pricing, reads, steam, tickets
 from tickline.plans.catalog import ASSESS_SQL, FAIR_ALL_SQL, FAIR_SQL, WIDE, _fair, _gated, query, r, us
-from tickline.plans.catalog2 import BACK, CAND, GRADE, HALF, SNAP, STEAM, _decided, _found, _half, _legs, _moves
+from tickline.plans.catalog2 import BACK, CAND, GRADE, HALF, SNAP, STEAM, _decided, _found, _graded, _half, _legs, _moves
 from tickline.plans.model import Views
 from tickline.sources import raw, sinks
 from tickline.streaming import histories, state
@@ -97,6 +98,14 @@ def s14(v: Views) -> DataFrame:
     return total("tickets", "stake_minor").unionByName(total("legs", "selection_id")).unionByName(total("entries", "amount_minor"))
 
 
+@query("s15_set_user_status", "SELECT c_custkey AS user_id, CASE WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN 'suspended' ELSE c_mktsegment END AS status FROM customer")
+def s15_status(v: Views) -> DataFrame:
+    """Customers' segments stand for statuses, two of them terminal; a third of the accounts, and unknown ones, are to be suspended."""
+    own = v.table("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("status"))
+    ask = own.filter("user_id % 3 = 0").select("user_id", F.lit("suspended").alias("status"))
+    return reads.set_status(own, ask.unionByName(ask.select((-1 - F.col("user_id")).alias("user_id"), "status")), "user_id", ("MACHINERY", "HOUSEHOLD"))
+
+
 # ---- sources ------------------------------------------------------------------------------------------------------
 
 
@@ -115,6 +124,16 @@ def s2_props(v: Views) -> DataFrame:
     return out.select("id", "book", "role", subject.alias("subject"), "odds", "reason")
 
 
+# ---- projections --------------------------------------------------------------------------------------------------
+
+
+@query("p9_fair_decimal", "SELECT selection_id, book_id, epoch_us(observed_at) AS observed_us, round(odds / 0.98::DOUBLE, 6) AS fair_decimal, round(1 / odds, 6) AS breakeven, round(1.02::DOUBLE * odds / 0.98::DOUBLE, 6) AS min_decimal FROM quotes")
+def p9_fair(v: Views) -> DataFrame:
+    """The price of a fair probability (two per cent below what the odds imply), the odds' own break-even, and the price for an edge of two per cent."""
+    q = 0.98 / F.col("odds")
+    return v.quotes.select("selection_id", "book_id", us("observed_at").alias("observed_us"), r(O.prob_to_decimal(q)).alias("fair_decimal"), r(O.decimal_to_prob(F.col("odds"))).alias("breakeven"), r(F.lit(1.02) / q).alias("min_decimal"))
+
+
 # ---- value against the reference ------------------------------------------------------------------------------------
 
 ASSESS_ALL_SQL = ASSESS_SQL.replace(FAIR_SQL, FAIR_ALL_SQL)
@@ -399,6 +418,13 @@ def k8_rows(v: Views) -> DataFrame:
     return _decided(v).select("wager_id", "status", "returned_minor", "net_return_minor")
 
 
+@query("k8_decide_teasers", GRADE + " SELECT wager_id, CASE WHEN wager_id % 2 = 0 AND status = 'won' AND push > 0 THEN 'void' ELSE status END AS status, CASE WHEN wager_id % 2 = 0 AND status = 'won' AND push > 0 THEN stake_minor ELSE returned_minor END AS returned_minor FROM settled")
+def k8_teasers(v: Views) -> DataFrame:
+    """Every second ticket as a teaser."""
+    own = v.tickets.withColumn("kind", F.when(F.col("wager_id") % 2 == 0, "teaser").otherwise("parlay"))
+    return tickets.decide(own, _graded(v), v.legs.groupBy("wager_id").agg(F.count("*").alias("n_legs"))).select("wager_id", "status", "returned_minor")
+
+
 @query("k10_settle_batch_rows", GRADE + " SELECT wager_id, status, returned_minor FROM settled WHERE wager_id % 4 <> 1")
 def k10_rows(v: Views) -> DataFrame:
     """Tickets settled before (every fourth) stay out, as an anti-join on settled ids; repeated ones count once."""
