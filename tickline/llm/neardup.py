@@ -212,7 +212,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, thres
         memo = _memo()
         last, own = None, None
         for batch in batches:
-            for b in batch.to_pylist():
+            for b in (row for part in slices(batch, 64, 1_000_000, 3) for row in part.to_pylist()):  # few texts at a time
                 if b["a"] != last:
                     last, own = b["a"], shingles(word_hashes(b["ta"], memo), k)
                 other = shingles(word_hashes(b["tb"], memo), k)
