@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return
 the columns of documents. Between stages rows are written as Parquet and read again.
+
+Cases, for every stage: an empty table gives an empty one; other columns pass through, whatever their names; null texts
+and null ids are no obstacle. Rows with null or empty texts are scored like any text, are near copies of nothing, hold no
+personal data, and end in the mixing, which takes words; repeated rows are one document to the near duplicates and the
+mixing, and rows of their own to the other stages.
 """
 
 from __future__ import annotations

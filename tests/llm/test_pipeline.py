@@ -15,3 +15,26 @@ def test_stages(spark):
         assert docs.columns == cols or name == "tokens"
     assert seen[1] <= seen[0] and seen[2] <= seen[1] and seen[3] == seen[2] and seen[5] == seen[4]
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_stages_on_odd_rows(spark):
+    text = "Mrs. Maria Smith wrote to joe@example.com about a plain report on the weather of the last few days"
+    rows = [(i, t, "en", s, len(t or ""), 0.5, "z") for i, t, s in ((1, None, "a"), (2, "", None), (3, text, "a"), (3, text, "a"), (4, text + ".", None), (5, "word " * 5000, "b"))]
+    rows += [(None, text, None, None, None, None, None), (None, None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, turn string").repartition(3)
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, SF), f"odd-{name}")
+            got = out.collect()
+            if name == "tokens":
+                assert len(got) == n and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                continue
+            assert out.columns == docs.columns and (n or not got)
+            assert all(r.text is None or r.n_chars is None or name == "quality" or r.n_chars == len(r.text) for r in got)
+            if n and name == "near_duplicates":
+                assert sorted(r.doc_id for r in got if r.doc_id) == [1, 2, 3, 5] and sum(r.doc_id is None for r in got) == 2
+            if n and name == "surrogates":
+                assert len(got) == n and not any(r.text and ("joe@" in r.text or "Smith" in r.text) for r in got)
+            if n and name == "mixing":
+                assert all(r.text for r in got)
