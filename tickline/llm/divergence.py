@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from tickline.llm.common import slices, stored
 
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-#: Bytes of text of a slice; pointers sorted at once without a pivot; rows a task holds before it deals them.
-SLICE_BYTES, SMALL, HELD_ROWS = 8_000_000, 4096, 2_000_000
+#: Bytes of text of a slice; pointers sorted at once without a pivot; rows of slices that a task adds to its sums at once, and rows of
+#: sums that it holds before it deals them.
+SLICE_BYTES, SMALL, NEW_ROWS, HELD_ROWS = 3_000_000, 4096, 300_000, 1_000_000
 #: Terms of a block, sources of a block, terms of a dense step.
 TERM_BLOCK, SOURCE_BLOCK, STEP = 8192, 128, 1024
 #: Groups up to which their table is broadcast (counted first).
@@ -133,13 +134,17 @@ NAMES = ["lang", "source", "term", "n", "docs"]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.Table] = []
+    held: list[pa.Table] = []  # the sums so far, and slices behind them
+    new = 0
+    schema = pa.schema([(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(NAMES)])
 
-    def added() -> list[pa.RecordBatch]:
-        own = pa.concat_tables(held).combine_chunks().group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    def added(most: int) -> list[pa.RecordBatch]:
+        own = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(NAMES).cast(schema)
         held.clear()
-        out = own.rename_columns(NAMES)
-        return out.cast(pa.schema([(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(NAMES)])).to_batches(max_chunksize=50_000)
+        if len(own) <= most:
+            held.append(own)
+            return []
+        return own.to_batches(max_chunksize=50_000)
 
     for batch in batches:
         for part in slices(batch, 1_000_000, SLICE_BYTES, 2):
@@ -151,11 +156,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.arange(len(own))  # each group occurs, with the term '' that no text has
             g, zero = np.concatenate([every, g]), np.zeros(len(own), np.int64)
             terms = pa.concat_arrays([pa.array([""] * len(own), pa.large_string()), terms])
-            held.append(pa.table([name[0].take(pa.array(g)), name[1].take(pa.array(g)), terms, np.concatenate([zero, n]), np.concatenate([zero, docs])], NAMES))
-            if sum(map(len, held)) > HELD_ROWS:
-                yield from added()
+            held.append(pa.table([name[0].take(pa.array(g)), name[1].take(pa.array(g)), terms, np.concatenate([zero, n]), np.concatenate([zero, docs])], NAMES).cast(schema))
+            new += len(g)
+            if new > NEW_ROWS:
+                new = 0
+                yield from added(HELD_ROWS)
+                pa.default_memory_pool().release_unused()
     if held:
-        yield from added()
+        yield from added(-1)
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
