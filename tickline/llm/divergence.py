@@ -174,8 +174,9 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     found = own.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     # dealt by language and term: the sums by group and the language's totals need no further shuffle
     found = found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    term = Window.partitionBy("lang", "term")
-    found = found.withColumns({"df": F.sum("docs").over(term), "total": F.sum("n").over(term), "head": F.row_number().over(term.orderBy("source")) == 1})
+    order = Window.partitionBy("lang", "term").orderBy("source")
+    term = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the same sort serves all three
+    found = found.withColumns({"df": F.sum("docs").over(term), "total": F.sum("n").over(term), "head": F.row_number().over(order) == 1})
     return stored(found.filter((F.col("df") >= least_docs) | (F.col("term") == "")).select("lang", "source", "term", "n", "total", "head"), "divergence-terms")
 
 
