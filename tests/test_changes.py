@@ -70,3 +70,43 @@ def test_ledger_refuses_unbalanced_batches(spark, tmp_path):
         sinks.append_tickets(own, legs.filter("false"), entries, path)
     sinks.append_tickets(own, legs, entries, path)
     assert spark.read.parquet(f"{path}/entries").count() == 2
+
+
+def test_tickets_are_appended_once_and_whole(spark, tmp_path, monkeypatch):
+    own = spark.createDataFrame([(1, 7, 100, "half_even"), (2, 7, 0, "half_even")], "wager_id long, user_id long, stake_minor long, rounding string").withColumn("placed_at", F.lit("2020-01-01").cast("timestamp"))
+    legs = spark.createDataFrame([(1, 5), (2, 6)], "wager_id long, selection_id long")
+    entries = tickets.stake_entries(own)
+    path = f"file://{tmp_path}/betting"
+    log = sinks.ticket_log(own, legs, entries, path)
+    seen = lambda: tuple(log.read(n).count() for n in ("tickets", "legs", "entries"))
+    for why, bad in {
+        "empty": (own, legs, entries.filter("false")), "doubled": (own.unionByName(own.withColumn("user_id", F.lit(8).cast("long"))), legs, entries),
+        "other": (own, legs.unionByName(spark.createDataFrame([(9, 9)], legs.schema)), entries), "25": (own, legs.crossJoin(spark.range(26).select()), entries),
+    }.items():
+        with pytest.raises(ValueError, match=why):
+            sinks.append_tickets(*bad, path)
+    assert seen() == (0, 0, 0)
+    with monkeypatch.context() as m:  # fails between the tables and the marker
+        m.setattr(sinks.CommitLog, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.append_tickets(own, legs, entries, path, "a")
+    assert seen() == (0, 0, 0)
+    for batch in ("a", "a", "b", None):  # repeated, and again under other names
+        sinks.append_tickets(own, legs, entries, path, batch)
+        assert seen() == (2, 2, 2)
+    more = own.withColumn("wager_id", F.col("wager_id") + 1)  # one ticket is there, one is new
+    sinks.append_tickets(more, legs.withColumn("wager_id", F.col("wager_id") + 1), tickets.stake_entries(more), path)
+    assert seen() == (3, 3, 2 + 0)
+    with pytest.raises(ValueError, match="name"):
+        log.stage("a/b", tickets=own)
+
+
+def test_a_batch_is_published_once(spark, tmp_path):
+    found = spark.createDataFrame([(1, 2.0), (2, 3.0)], "market_id long, odds double")
+    path = f"file://{tmp_path}/topics"
+    for _ in range(2):
+        sinks.publish(found, path, "ev", "market_id", "7")
+    sinks.publish(found, path, "ev", "market_id", "8")
+    sinks.publish(found.limit(1), path, "ev", "market_id")
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 5 and {r.kind for r in rows} == {"ev"}

@@ -33,11 +33,12 @@ def largest_steps(points: DataFrame) -> DataFrame:
 
 
 def moves(ticks: DataFrame, window: str = WINDOW, hop: str = HOP) -> DataFrame:
-    """Per window, selection and book with two or more points: last less first, and when the largest step in its direction ended.
+    """Per window, selection and book with two or more points: last less first, and when the largest step in its direction ended."""
+    return moves_of(window_points(ticks, window, hop))
 
-    No array of points is built: one sort by key and time, and aggregates.
-    """
-    points = window_points(ticks, window, hop)
+
+def moves_of(points: DataFrame) -> DataFrame:
+    """``moves`` of the points of windows. No array of points is built: one sort by key and time, and aggregates."""
     order = Window.partitionBy("w", "selection_id", "book_id").orderBy("observed_at", "implied")
     own = points.withColumn("step", F.col("implied") - F.lag("implied").over(order))
     end, at = F.unix_micros("observed_at"), F.struct("observed_at", "implied")
