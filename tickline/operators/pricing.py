@@ -10,6 +10,7 @@ from tickline.functions import odds as O
 #: Defaults of the rules, in seconds or plain numbers.
 MAX_REFERENCE_AGE, MAX_QUOTE_AGE, EV_MAX_AGE = 300.0, 600.0, 180.0
 MIN_EV_PERCENT, MIN_ARB_RETURN, ARB_SPREAD, ARB_AGE = 1.0, 0.001, 30.0, 120.0
+ARB_SIGNAL_AGE, ARB_SIGNAL_SPREAD, ARB_SIGNAL_RETURN = 60.0, 20.0, 0.005
 MIN_MIDDLE_WIDTH = 0.5
 KELLY_MULTIPLIER = 0.25
 
@@ -31,12 +32,18 @@ def book_snapshots(latest: DataFrame) -> DataFrame:
     return own.join(n.filter("n_selections >= 2"), "market_id").withColumn("complete", F.col("n_quoted") == F.col("n_selections"))
 
 
+def reference_order(flagged: tuple[int, ...], preferred: tuple[int, ...]) -> list[int]:
+    """The candidate books in order: flagged ones by their place in the preferences, then by id; then preferred ones that are not flagged."""
+    place = {b: i for i, b in reversed([*enumerate(preferred)])}
+    return [*sorted(set(flagged), key=lambda b: (place.get(b, len(preferred)), b)), *(b for b in dict.fromkeys(preferred) if b not in flagged)]
+
+
 def resolve_reference(books: DataFrame, flagged: tuple[int, ...] = (0,), preferred: tuple[int, ...] = (), max_age: float = MAX_REFERENCE_AGE) -> DataFrame:
-    """A market's reference book: flagged books, then preferred ones, then by id; the first that is complete and fresh.
+    """A market's reference book: the first by ``reference_order`` that is complete and fresh.
 
     Only flagged or preferred books are candidates. Without one, book is null and reason is the first candidate's.
     """
-    candidates = [*dict.fromkeys([*sorted(flagged), *preferred])]
+    candidates = reference_order(flagged, preferred)
     rank = F.array_position(F.array(*map(F.lit, candidates)), F.col("book_id"))
     age = O.age_seconds(F.col("anchor"), F.col("oldest"))
     reason = F.when(~F.col("complete"), "incomplete").when(age > max_age, "stale")
@@ -50,7 +57,7 @@ def resolve_reference(books: DataFrame, flagged: tuple[int, ...] = (0,), preferr
 
 def reference_books(books: DataFrame, flagged: tuple[int, ...] = (0,), preferred: tuple[int, ...] = (), max_age: float = MAX_REFERENCE_AGE) -> DataFrame:
     """The snapshot of each market's reference book, as ``resolve_reference`` finds it; no join, one pass by market."""
-    candidates = [*dict.fromkeys([*sorted(flagged), *preferred])]
+    candidates = reference_order(flagged, preferred)
     rank = F.array_position(F.array(*map(F.lit, candidates)), F.col("book_id"))
     fine = F.col("book_id").isin(candidates) & F.col("complete") & (O.age_seconds(F.col("anchor"), F.col("oldest")) <= max_age)
     own = books.filter(fine).withColumn("rank", rank)
@@ -147,6 +154,33 @@ def arbitrages(latest: DataFrame, max_age: float = ARB_AGE, max_spread: float =
     return own.withColumn("fingerprint", fingerprint(F.col("legs")))
 
 
+def arb_outcomes(arbs: DataFrame, max_age: float = ARB_SIGNAL_AGE, max_spread: float = ARB_SIGNAL_SPREAD, min_return: float = ARB_SIGNAL_RETURN, min_books: int = 1, open_markets: DataFrame | None = None) -> DataFrame:
+    """Adds ``outcome`` to arbitrages: the first gate that one fails, or signal. The ages are those of its oldest leg.
+
+    Gates in order: market_closed (where ``open_markets`` lists the open ones), stale_leg, wide_spread, thin_return, too_few_books, out_of_range.
+    """
+    own = arbs.withColumn("oldest_leg_age", F.array_max(F.transform("legs", lambda x: x["age"])))
+    closed = F.lit(False)
+    if open_markets is not None:
+        own = own.join(open_markets.select("market_id").distinct().withColumn("is_open", F.lit(True)), "market_id", "left")
+        closed = F.col("is_open").isNull()
+    odd = F.exists("legs", lambda x: F.isnan(x["odds"]) | (x["odds"] <= 1) | (x["odds"] > 100_000) | (x["age"] < 0)) | (F.col("implied_sum") <= 0)
+    outcome = (
+        F.when(closed, "market_closed").when(F.col("oldest_leg_age") > max_age, "stale_leg").when(F.col("spread_seconds") > max_spread, "wide_spread")
+        .when(F.col("return_fraction") < min_return, "thin_return").when(F.col("distinct_books") < min_books, "too_few_books").when(odd, "out_of_range").otherwise("signal")
+    )
+    return own.withColumn("outcome", outcome).drop("is_open")
+
+
+def scan_counters(**scans: DataFrame) -> DataFrame:
+    """kind, outcome and n: how many rows of each scan (ev, arb, ...) left it by which gate, in one aggregate; they add up to the rows examined."""
+    kinds = [df.select(F.lit(kind).alias("kind"), "outcome") for kind, df in scans.items()]
+    own = kinds[0]
+    for df in kinds[1:]:
+        own = own.unionByName(df)
+    return own.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
 def fingerprint(legs: Column) -> Column:
     """SHA-256 over the legs by selection: id, book, odds, line or a dash, each ended by the unit separator."""
     short = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")

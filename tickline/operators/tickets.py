@@ -55,9 +55,9 @@ def round_robin_sizes(legs: DataFrame, sizes: list[int], most_legs: int = 10, mo
     return out.unionByName(no)
 
 
-def grade(legs: DataFrame, games: DataFrame, draws: DataFrame | None = None) -> DataFrame:
-    """Legs on finished events with won, lost, push or void; draws lists markets that quote a draw."""
-    own = legs.join(games.filter("status IN ('final', 'cancelled')").select("event_id", F.col("status").alias("event_status"), "home_score", "away_score"), "event_id")
+def grade(legs: DataFrame, games: DataFrame, draws: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Legs on finished events with won, lost, push or void; draws lists markets that quote a draw; ``more`` columns of games come along."""
+    own = legs.join(games.filter("status IN ('final', 'cancelled')").select("event_id", F.col("status").alias("event_status"), "home_score", "away_score", *more), "event_id")
     if draws is None:
         own = own.withColumn("draw_quoted", F.lit(False))
     else:
