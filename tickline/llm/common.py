@@ -44,12 +44,6 @@ def fold(doc_id: str, mod: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % mod
 
 
-def restrict(rows: DataFrame, ids: DataFrame, key: str, bound: int = 2_000_000) -> DataFrame:
-    """Rows whose ``key`` is in ``ids`` (distinct longs). Broadcasts only when a count proves at most ``bound`` ids."""
-    n = ids.count()
-    return rows.join(F.broadcast(ids) if n <= bound else ids, key, "left_semi")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, left_out: int, limit: int, halves: bool = False) -> list:
     """At most ``limit`` rows (text, label[, lang]) for fitting, the same on every run.
 

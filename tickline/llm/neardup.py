@@ -1,6 +1,6 @@
 """Near duplicates: universal hash minima, bands, verification on full sets, connected components.
 
-Documents with equal shingle sets form a class, stood for by its smallest id. Class representatives have
+Documents with equal shingle sets form a class with a number of its own, whatever ids its rows have. Class representatives have
 ``BANDS`` x rows minima of multiply-shift hashes; a band's minima name a bucket, and two sets of the threshold's
 similarity share none with a chance below one in a million. Inside a bucket no pairs are listed: its members are
 held against one pivot, then, where the bucket still holds more than one component, against pivots chosen anew.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickline.llm.common import Memo, restrict, slices, stored
+from tickline.llm.common import Memo, slices, stored
 
 BANDS = 30
 MISS = 1e-6
@@ -116,7 +116,7 @@ def signed(docs: DataFrame, k: int, rows: int) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), 2), np.int64)
                 for i in full:
-                    keys[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
+                    keys[i] = set_key(sets[i])
                 buckets, sig = [None] * len(sets), [None] * len(sets)
                 if full:
                     m = minima([sets[i] for i in full], rows)
@@ -132,7 +132,45 @@ def signed(docs: DataFrame, k: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, buckets array<long>, sig binary")
 
 
-def allowed(open_rows: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def set_key(shingle_set: np.ndarray) -> np.ndarray:
+    """The two key words of a set that is not empty."""
+    return np.frombuffer(hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest(), np.int64)
+
+
+class Texts:
+    """One text of each class: that of the row whose id the class names (``text_id``).
+
+    An id may have rows of several sets (``mixed``); of its texts the one counts whose set has the class's key.
+    """
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int):
+        self.docs = docs.select(F.col("doc_id").alias("text_id"), "text").filter("text IS NOT NULL AND text_id IS NOT NULL")
+        self.classes, self.k = classes.select("rep", "text_id", "mixed", "k1", "k2"), k
+
+    def of(self, ids: DataFrame, bound: int = 500_000) -> DataFrame:
+        """rep and text of the classes in ``ids`` (distinct rep), a row each. Broadcasts only when a count proves at most ``bound``."""
+        want = stored(self.classes.join(ids, "rep"), "near-wanted")
+        n = want.count()
+        own = self.docs.join(F.broadcast(want) if n <= bound else want, "text_id")
+        texts = own.filter("NOT mixed").select("rep", "text")
+        if not want.filter("mixed").isEmpty():
+            texts = texts.union(own.filter("mixed").select("rep", "text", "k1", "k2").mapInArrow(self._same, "rep long, text string"))
+        return texts.groupBy("rep").agg(F.min("text").alias("text"))
+
+    def _same(self, batches):
+        memo = _memo()
+        for batch in batches:
+            for part in slices(batch, 64, 1_000_000):
+                sets = [shingles(word_hashes(t, memo), self.k) for t in part.column(1).to_pylist()]
+                wanted = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                fits = [len(s) > 0 and tuple(set_key(s).tolist()) == w for s, w in zip(sets, wanted, strict=True)]
+                yield part.filter(pa.array(fits)).select([0, 1])
+
+    def __getstate__(self) -> dict:
+        return {"k": self.k}  # tasks need no frames
+
+
+def allowed(open_rows: DataFrame, texts: Texts, k: int, threshold: float) -> DataFrame:
     """The open rows (bucket, rep, component) with what bounds an overlap: n (set size), u (shingles of no other
     open member), cells (the others counted in ``CELLS`` cells by hash), and all open buckets of the member.
 
@@ -150,7 +188,7 @@ def allowed(open_rows: DataFrame, texts: DataFrame, k: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "s"])
 
     ids = open_rows.select("rep").distinct()
-    rows = restrict(texts, ids, "rep").select("rep", "text").mapInArrow(run, "rep long, s long").distinct()
+    rows = texts.of(ids).mapInArrow(run, "rep long, s long").distinct()
     rare = rows.groupBy("s").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).filter("f = 1")
     cell = F.pmod("s", F.lit(CELLS)).alias("cell")
     both = rows.select("rep", cell, F.lit(1).alias("n"), F.lit(0).alias("u")).union(rare.select("rep", cell, F.lit(0).alias("n"), F.lit(1).alias("u")))
@@ -194,7 +232,7 @@ def possible(rows: DataFrame, threshold: float) -> DataFrame:
     return keyed.groupBy("g").applyInPandas(meet, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, texts: Texts, k: int, threshold: float) -> DataFrame:
     """The distinct pairs (a, b) whose full sets reach the threshold; the signatures sort out hopeless ones first."""
     per_mille = round(threshold * 1000)
 
@@ -221,7 +259,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, thres
                     yield pa.RecordBatch.from_pylist([{"a": b["a"], "b": b["b"]}], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = restrict(texts, ids, "rep")
+    own = texts.of(ids)
     with_a = near.join(own.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(own.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return stored(with_b.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"), "near-links")
@@ -250,11 +288,12 @@ def linked(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     rows = rows_for(threshold)
     all_rows = stored(signed(docs, k, rows), "near-signed")
     full = all_rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes, ["k1", "k2"]).filter("doc_id = rep").groupBy("rep").agg(F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
-    reps = stored(reps, "near-reps")
-    # a representative's text, once; of rows with its id, any with its set would do
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("text IS NOT NULL AND rep IS NOT NULL")
+    kinds = all_rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(((F.min("k1") != F.max("k1")) | (F.min("k2") != F.max("k2"))).alias("mixed"))
+    plain = full.groupBy("k1", "k2", "doc_id").agg(F.first("buckets").alias("buckets"), F.first("sig").alias("sig")).join(kinds, "doc_id")
+    # a class is read by an id of one set, where it has such an id
+    classes = plain.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min(F.struct("mixed", F.col("doc_id").alias("text_id"))).alias("t"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "low", "t.*", "buckets", "sig"), "near-classes")
+    reps, texts = classes.select("rep", "buckets", "sig"), Texts(docs, classes, k)
     members = stored(reps.select("rep", F.explode("buckets").alias("bucket")), "near-buckets")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket"), "near-shared")
@@ -281,7 +320,8 @@ def linked(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             links = stored(links, "near-links")
             comp = stored(components(links), "near-components")
             label = reps.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    named = classes.join(label, "rep").select("k1", "k2", "component")
+    named = classes.select("rep", "k1", "k2", "low").join(label, "rep")
+    named = named.join(named.groupBy("component").agg(F.min("low").alias("least")), "component").select("k1", "k2", F.col("least").alias("component"))
     return all_rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))).alias("component"))
 
 

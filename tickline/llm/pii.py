@@ -3,14 +3,16 @@
 Kinds: EMAIL, IP, IP6 (all eight groups), SSN, PHONE, CARD (13 to 19 digits), KEY (access keys and assigned secrets) and PERSON (all
 capitalised words behind a title, and each of them wherever it recurs with a capital in the same text). An entity is its kind and normal form (lower-case; digits alone for numbers; a name is each of its
 words), so spellings of one entity share a surrogate. A surrogate replaces letters by letters and digits by digits
-at their places: vowels by vowels and other letters by other letters of the same script and case, and signs,
+at their places: vowels by vowels and other letters by other letters of the same script and case (of scripts other than Latin, Cyrillic and
+Greek, letters by their neighbours in the code, so of one script and case too), and signs,
 lengths, the country code, the mail's top domain and a password's label and quotes stay. Numbers that pass the Luhn check get
 surrogates that pass it; IP octets stay octets; titles and a name's last letter stay, and with them its gender.
 
 Surrogates come from SHA-256 of key, kind, normal form and draw number. Drawing goes on for entities whose
 surrogate another entity has (the smaller keeps it) or that is itself an entity of the corpus, so distinct stays
 distinct and no surrogate is a real value. After every ``WIDEN`` draws in vain a format is nearly used up, and the
-surrogate gets a character more, so drawing ends for any number of entities.
+surrogate gets a character more, so drawing ends for any number of entities (but for addresses of four three-digit octets, of which there
+are a hundred million).
 
 Searches are bounded: no mail address with over 64 characters before the @ is found, no name word of over 60 letters;
 of a secret the first 4,096 characters are replaced; names have at most 50 words. So time is linear in a text.
@@ -55,7 +57,7 @@ NUMBERS = ("CARD", "PHONE", "SSN")
 WIDEN = 12
 VOWELS, REST = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Letters by script: vowels, others.
-ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеиоуэюя", "бвгджзклмнпрстфхцчш"), (r"\p{IsGreek}", "αεηιουω", "βγδζθκλμνξπρστφχψ"))
+ALPHABETS = (("[a-z]", VOWELS, REST), (r"\p{IsCyrillic}", "аеёиоуыэюя", "бвгджзклмнпрстфхцчш"), (r"\p{IsGreek}", "αεηιουω", "βγδζθκλμνξπρστφχψ"))
 
 
 def kind_of(m: Column) -> Column:
@@ -99,6 +101,19 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), byte % len(alphabet) + 1, F.lit(1))
 
 
+def _neighbour(c: Column, byte: Column) -> Column:
+    """A letter among the 32 code points about a small or caseless letter that has case as it has; a letter without neighbours stays.
+
+    For letters of scripts that ``ALPHABETS`` doesn't list: scripts fill such ranges, so the script is the letter's own.
+    """
+    code = F.ascii(c)
+    letter = lambda k: F.decode(F.unhex(F.lpad(F.hex((code - code % 32 + k).cast("long")), 8, "0")), "UTF-32")
+    cased = F.upper(c) != c
+    like = lambda x: x.rlike(r"^\p{L}$") & (F.lower(x) == x) & ((F.upper(x) != x) == cased) & (F.lower(F.upper(x)) == x) & (F.length(F.upper(x)) == 1)
+    near = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), like)
+    return F.when(F.size(near) > 1, F.element_at(near, byte % F.size(near) + 1)).otherwise(c)
+
+
 def widened(kind: Column, norm: Column, times: Column) -> Column:
     """A longer format of the same kind: octets get a leading digit, numbers and keys an end, others a beginning."""
     octets = F.when(times > 1, F.regexp_replace(F.regexp_replace(norm, r"\b(\d{1,2})\b", "1$1"), r"\b(\d{1,2})\b", "1$1")).otherwise(F.regexp_replace(norm, r"\b(\d{1,2})\b", "1$1"))
@@ -130,7 +145,8 @@ def draw(kind: Column, norm: Column, n: Column, key: str) -> Column:
         for script, vowels, rest in ALPHABETS:
             out = out.when(c.rlike(f"^{script}$"), F.when(c.rlike(f"[{vowels}]"), _pick(vowels, byte)).otherwise(_pick(rest, byte)))
         out = out.when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", byte))
-        return out.when(c.rlike(r"^\p{L}$"), _pick(VOWELS + REST, byte)).otherwise(c)
+        out = out.when(c.rlike(r"^\p{IsLatin}$"), _pick(VOWELS + REST, byte))
+        return out.when(c.rlike(r"^\p{L}$"), _neighbour(c, byte)).otherwise(c)
 
     made = F.array_join(F.transform(chars, one), "")
     body = F.substring(made, F.lit(1), size - 1)
