@@ -27,6 +27,25 @@ def test_rested_equals_a_plain_loop(spark):
     assert changes.rested(spark.createDataFrame([], "a long, t long"), ["a"], "t", 1.0).count() == 0
 
 
+def test_a_hot_key_is_folded_in_segments(spark):
+    """Equal to the fold in one task, for gaps shorter and longer than a segment, ties and a gap of zero; one key uses all tasks."""
+    rng = np.random.default_rng(2)
+    hot = [(1, "x", int(t)) for t in np.concatenate([rng.integers(0, 40_000, 3000), [7] * 500]) * 1_000_000]
+    rows = hot + [(2, "y", int(t) * 1_000_000) for t in rng.integers(0, 4000, 700)] + [(3, "x", 5), (3, "y", 5)]
+    df = spark.createDataFrame(rows, "a long, b string, t long")
+    for gap in (3.0, 40.0, 900.0, 30_000.0, 0.0):
+        count = lambda d: sorted((tuple(r), n) for r, n in d.filter("kept").rdd.map(lambda r: (tuple(r), 1)).reduceByKey(lambda x, y: x + y).collect())
+        want = count(changes.rested(df, ["a", "b"], "t", gap))
+        assert count(changes.rested(df, ["a", "b"], "t", gap, most=600)) == want, gap
+        assert count(changes.rested_in_segments(df, ["a", "b"], "t", int(gap * 1e6), 200)) == want, gap
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would go to one task else
+    try:
+        out = changes.rested_in_segments(df.filter("a = 1"), ["a", "b"], "t", 1_000_000, 1000)
+        assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) >= 3 and out.count() == len(hot)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def fingerprint(spark, quotes):
     df = spark.createDataFrame([(1, *q) for q in quotes], "market_id long, selection_id long, book_id int, odds double, line double").withColumn("observed_at", F.lit("2020-01-01").cast("timestamp"))
     return changes.market_records(df, "1 day").first().fingerprint
