@@ -15,7 +15,15 @@ _OWN_DIR: list[str] = []
 FIT_CHARS = 65_536
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of Spark's 64 (rows are texts, and JVM and worker each hold a batch or two); a size of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, "8388608b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +42,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
