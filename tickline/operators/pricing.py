@@ -234,3 +234,62 @@ def middle_outcomes(found: DataFrame) -> DataFrame:
     r = F.col("result")
     kind = F.when((r > F.col("threshold")) & (r < F.col("threshold_b")), "both_win").otherwise("win_push")
     return own.withColumn("kind", kind)
+
+
+def middle_stakes(found: DataFrame, total_minor: int) -> DataFrame:
+    """Whole-unit stakes (rounded up), and the return and profit of every way a middle can end.
+
+    ``hit`` wins both, ``above`` and ``below`` one side, ``low_push`` and ``high_push`` one side while the other's stake comes back (a result
+    on a whole threshold). ``worst_profit`` is the lesser of above and below; ``breakeven_hit`` the share of hits that pays for the rest.
+    """
+    part = lambda d: F.ceil(F.lit(total_minor) * (1 / F.col(d) / F.col("implied_sum"))).cast("long")
+    own = found.withColumns({"stake_above": part("odds"), "stake_below": part("odds_b")})
+    paid = lambda stake, d: (F.col(stake) * F.col(d)).cast("long")
+    own = own.withColumns({"outlay": F.col("stake_above") + F.col("stake_below"), "above_return": paid("stake_above", "odds"), "below_return": paid("stake_below", "odds_b")})
+    above, below, outlay = F.col("above_return"), F.col("below_return"), F.col("outlay")
+    own = own.withColumns({
+        "hit_profit": above + below - outlay, "above_profit": above - outlay, "below_profit": below - outlay,
+        "low_push_profit": below + F.col("stake_above") - outlay, "high_push_profit": above + F.col("stake_below") - outlay,
+    })
+    own = own.withColumn("worst_profit", F.least("above_profit", "below_profit"))
+    worst, hit = F.col("worst_profit"), F.col("hit_profit")
+    return own.withColumn("breakeven_hit", F.when(worst >= 0, 0.0).when(hit > 0, -worst / (hit - worst)).otherwise(1.0))
+
+
+def settlement_distribution(results: DataFrame) -> DataFrame:
+    """An empirical distribution by market type, as rows of ``upto`` (a result), ``n``, ``below`` (results under it) and ``total``.
+
+    Interval counts are differences of two of its rows, so a window costs two look-ups, however wide it is. Results: market_type, result.
+    """
+    own = results.groupBy("market_type", "result").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("market_type").orderBy("result").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select("market_type", F.col("result").alias("upto"), "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy("market_type")).alias("total"))
+
+
+def middle_expectation(staked: DataFrame, distribution: DataFrame) -> DataFrame:
+    """Hit, push and miss probabilities of staked middles, the expected profit in minor units, and the edge over the break-even share.
+
+    A window is (threshold, threshold_b); a push needs a whole threshold. ``distribution`` is that of ``settlement_distribution``; market types without
+    results give no rows. Distinct scores are few, so a type's distribution is one sorted array, searched by value.
+    """
+    steps = distribution.groupBy("market_type").agg(F.array_sort(F.collect_list(F.struct(F.col("upto").cast("double").alias("upto"), "n", "below"))).alias("steps"), F.max("total").alias("total"))
+    own = staked.join(steps, "market_type")
+    low, high = F.col("threshold"), F.col("threshold_b")
+    # rows below a value, by the first step at or above it; at a value, by the step itself
+    at_or_above = lambda v, strict: F.get(F.filter("steps", lambda x: (x["upto"] > v) if strict else (x["upto"] >= v)), F.lit(0))
+    under = lambda v, strict: F.coalesce(at_or_above(v, strict)["below"], F.col("total"))
+    at = lambda v: under(v, True) - under(v, False)
+    whole = lambda v: F.floor(v) == v
+    share = lambda n: n / F.col("total")
+    own = own.withColumns({"hit": share(under(high, False) - under(low, True)), "low_push": F.when(whole(low), share(at(low))).otherwise(0.0), "high_push": F.when(whole(high), share(at(high))).otherwise(0.0)})
+    own = own.withColumn("miss", F.greatest(1 - F.col("hit") - F.col("low_push") - F.col("high_push"), F.lit(0.0)))
+    profit = F.col("hit") * F.col("hit_profit") + F.col("low_push") * F.col("low_push_profit") + F.col("high_push") * F.col("high_push_profit") + F.col("miss") * F.col("worst_profit")
+    return own.withColumns({"expected_profit": profit, "edge": F.col("hit") - F.col("breakeven_hit")}).drop("steps", "total")
+
+
+def middle_settlements(found: DataFrame, results: DataFrame) -> DataFrame:
+    """Each middle with each result of its market: both_win, win_push (a result on an edge) or win_lose."""
+    own = found.join(results.select("market_id", "result"), "market_id")
+    r = F.col("result")
+    kind = F.when((r > F.col("threshold")) & (r < F.col("threshold_b")), "both_win").when((r == F.col("threshold")) | (r == F.col("threshold_b")), "win_push").otherwise("win_lose")
+    return own.withColumn("kind", kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
@@ -162,3 +162,41 @@ def limit_usage(limits: DataFrame, entries: DataFrame) -> DataFrame:
     inside = (F.col("placed_at") >= F.col("since")) & (F.col("placed_at") <= F.col("now"))
     used = own.groupBy("user_id", "period", "limit_minor").agg(F.coalesce(-F.sum(F.when(inside, F.col("amount_minor"))), F.lit(0)).alias("used_minor"))
     return used.withColumn("breached", F.col("used_minor") > F.col("limit_minor"))
+
+
+#: Entry kinds that count against each kind of limit, and whether their sum is negated.
+LIMIT_KINDS = {"stake": (("stake",), True), "loss": (("stake", "payout", "refund", "cash_out", "settlement", "adjustment"), True), "grant": (("grant",), False)}
+PERIODS = ("day", "week", "month")
+
+
+def limit_usage_at(asks: DataFrame, entries: DataFrame) -> DataFrame:
+    """Use of limits at any instants: adds used_minor, projected_minor and breached to asks.
+
+    ``asks``: user_id, kind (stake, loss or grant), period (day, week or month), at, limit_minor, requested_minor, and an ``ask_id`` of their own. ``entries``: user_id, kind,
+    account_kind, placed_at, amount_minor; cash entries from the window's start (inclusive) to the instant (inclusive) count.
+    Day and week are 24 hours and seven days; a month is one of the calendar's, whose missing days run over into the next. Grants request nothing.
+
+    No ask meets the entries of its window: entries are summed up by user, kind and instant once, and an ask's use is the difference of two
+    look-ups in those sums, at its instant and before its window; sums and look-ups are one sorted pass by user and kind.
+    """
+    at = F.col("at")
+    since = F.when(F.col("period") == "day", at - F.expr("INTERVAL 24 HOURS")).when(F.col("period") == "week", at - F.expr("INTERVAL 7 DAYS"))
+    clock = F.unix_micros(at) - F.unix_micros(F.date_trunc("day", at))
+    since = since.otherwise(F.timestamp_micros(F.unix_micros(go_months_back(at).cast("timestamp")) + clock))
+    asks = asks.withColumn("since", since)
+    sign = F.coalesce(*[F.when(F.col("limit_kind") == k, F.lit(-1 if negated else 1)) for k, (_, negated) in LIMIT_KINDS.items()])
+    kinds = F.array(*[F.when(F.col("kind").isin(*of), F.lit(k)) for k, (of, _) in LIMIT_KINDS.items()])
+    moves = entries.filter("account_kind = 'cash'").select("user_id", F.explode(F.array_compact(kinds)).alias("limit_kind"), F.unix_micros("placed_at").alias("t"), "amount_minor")
+    moves = moves.groupBy("user_id", "limit_kind", "t").agg(F.sum("amount_minor").alias("amount_minor"))
+    nothing = F.lit(0).cast("long")
+    # at the same instant entries come before the end of a window (order 1) and behind the start of one (order 0)
+    rows = moves.select("user_id", "limit_kind", "t", F.lit(1).alias("rank"), (F.col("amount_minor") * sign).alias("amount"), F.lit(None).cast("string").alias("ask_id"))
+    for edge, rank in (("at", 2), ("since", 0)):
+        rows = rows.unionByName(asks.select("user_id", F.col("kind").alias("limit_kind"), F.unix_micros(edge).alias("t"), F.lit(rank).alias("rank"), nothing.alias("amount"), F.col("ask_id").cast("string").alias("ask_id")))
+    so_far = F.sum("amount").over(Window.partitionBy("user_id", "limit_kind").orderBy("t", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = rows.withColumn("so_far", so_far).filter("ask_id IS NOT NULL")
+    used = edges.groupBy("ask_id").agg(F.sum(F.when(F.col("rank") == 2, F.col("so_far")).otherwise(-F.col("so_far"))).alias("used_minor"))
+    requested = F.when(F.col("kind") == "grant", nothing).otherwise(F.coalesce("requested_minor", nothing))
+    own = asks.withColumn("_ask", F.col("ask_id").cast("string")).join(used.withColumnRenamed("ask_id", "_ask"), "_ask").drop("_ask")
+    own = own.withColumn("projected_minor", F.col("used_minor") + requested)
+    return own.withColumn("breached", F.col("projected_minor") > F.col("limit_minor"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tickline.operators import pricing, tickets
-from tickline.plans.catalog import AGE, ASSESS_SQL, FAIR_ALL_SQL, FAIR_SQL, SNAP_SQL, WIDE, query, r, us
+from tickline.plans.catalog import AGE, ASSESS_SQL, FAIR_ALL_SQL, FAIR_SQL, MID_SQL, SNAP_SQL, WIDE, query, r, us
 from tickline.plans.catalog2 import GRADE, HALF, _half
 from tickline.plans.model import Views
 from tickline.sources import sinks
@@ -250,3 +250,64 @@ def m2_order(v: Views) -> DataFrame:
     """Books 1, 2 and 4 are flagged; the preferences are 2, then 3: so 2, 1, 4, 3."""
     books = pricing.book_snapshots(v.latest)
     return pricing.resolve_reference(books, (1, 2, 4), (2, 3), WIDE).filter("reference_book_id IS NOT NULL").select("market_id", "reference_book_id")
+
+
+# ---- middles and limits in full -----------------------------------------------------------------------------------
+
+#: Lines of books 1 and 2 move by two points, those of book 3 by two and a half, so that some windows end on whole results.
+WINDOWS_SQL = MID_SQL.replace("THEN 2 ELSE 0 END AS threshold", "THEN 2 WHEN book_id = 3 AND role IN ('away', 'under') THEN 2.5 ELSE 0 END AS threshold").replace("a.odds AS odds_a", "a.market_type, a.odds AS odds_a").replace("market_id, role, book_id", "market_id, market_type, role, book_id") + """,
+staked AS (SELECT *, CAST(ceil(10000 * (1 / odds_a / s)) AS BIGINT) AS sa, CAST(ceil(10000 * (1 / odds_b / s)) AS BIGINT) AS sb FROM pairs),
+paid AS (SELECT *, sa + sb AS outlay, CAST(trunc(sa * odds_a) AS BIGINT) AS ra, CAST(trunc(sb * odds_b) AS BIGINT) AS rb FROM staked),
+profits AS (SELECT *, ra + rb - outlay AS hit_profit, least(ra, rb) - outlay AS worst_profit, rb + sa - outlay AS low_push_profit, ra + sb - outlay AS high_push_profit FROM paid),
+results AS (SELECT m.market_id, m.market_type, CASE WHEN m.market_type = 'total' THEN home_score + away_score ELSE home_score - away_score END AS result FROM markets m JOIN games USING (event_id) WHERE m.market_type <> 'moneyline' AND status = 'final')"""
+
+
+def _windows(v: Views) -> DataFrame:
+    moved = F.when(F.col("role").isin("away", "under"), F.when(F.col("book_id").isin(1, 2), F.col("line") + 2).when(F.col("book_id") == 3, F.col("line") + 2.5).otherwise(F.col("line"))).otherwise(F.col("line"))
+    return pricing.middles(v.latest.withColumn("line", moved), 1e12, 1e12)
+
+
+def _results(v: Views) -> DataFrame:
+    score = F.when(F.col("market_type") == "total", F.col("home_score") + F.col("away_score")).otherwise(F.col("home_score") - F.col("away_score"))
+    return v.markets.filter("market_type <> 'moneyline'").select("market_id", "event_id", "market_type").join(v.games.filter("status = 'final'"), "event_id").select("market_id", "market_type", score.alias("result"))
+
+
+@query("m17_middle_returns", WINDOWS_SQL + " SELECT market_id, low, high, sa AS stake_above, sb AS stake_below, outlay, hit_profit, ra - outlay AS above_profit, rb - outlay AS below_profit, low_push_profit, high_push_profit, worst_profit, round(CASE WHEN worst_profit >= 0 THEN 0 WHEN hit_profit > 0 THEN -worst_profit / (hit_profit - worst_profit)::DOUBLE ELSE 1 END, 9) AS breakeven_hit FROM profits")
+def m17_returns(v: Views) -> DataFrame:
+    cols = ["stake_above", "stake_below", "outlay", "hit_profit", "above_profit", "below_profit", "low_push_profit", "high_push_profit", "worst_profit"]
+    return pricing.middle_stakes(_windows(v), 10_000).select("market_id", F.col("threshold").alias("low"), F.col("threshold_b").alias("high"), *cols, r("breakeven_hit", 9).alias("breakeven_hit"))
+
+
+@query("m18_expected_profit", WINDOWS_SQL + """, totals AS (SELECT market_type, count(*)::DOUBLE AS t FROM results GROUP BY market_type),
+rates AS (SELECT p.market_id, low, high, any_value(hit_profit) AS hp, any_value(worst_profit) AS wp, any_value(low_push_profit) AS lp, any_value(high_push_profit) AS pp, count(*) FILTER (WHERE result > low AND result < high) / any_value(t) AS hit, count(*) FILTER (WHERE result = low) / any_value(t) AS lo, count(*) FILTER (WHERE result = high) / any_value(t) AS hi
+    FROM profits p JOIN results r ON r.market_type = p.market_type JOIN totals ON totals.market_type = p.market_type GROUP BY p.market_id, low, high)
+SELECT market_id, low, high, round(hit, 9) AS hit, round(lo + hi, 9) AS push, round(hit * hp + lo * lp + hi * pp + (1 - hit - lo - hi) * wp, 5) AS expected_profit, round(hit - CASE WHEN wp >= 0 THEN 0 WHEN hp > 0 THEN -wp / (hp - wp)::DOUBLE ELSE 1 END, 9) AS edge FROM rates""")
+def m18_profit(v: Views) -> DataFrame:
+    own = pricing.middle_expectation(pricing.middle_stakes(_windows(v), 10_000), pricing.settlement_distribution(_results(v)))
+    return own.select("market_id", F.col("threshold").alias("low"), F.col("threshold_b").alias("high"), r("hit", 9).alias("hit"), r(F.col("low_push") + F.col("high_push"), 9).alias("push"), r("expected_profit", 5).alias("expected_profit"), r("edge", 9).alias("edge"))
+
+
+@query("m19_middle_settlements", WINDOWS_SQL + " SELECT market_id, low, high, CASE WHEN result > low AND result < high THEN 'both_win' WHEN result = low OR result = high THEN 'win_push' ELSE 'win_lose' END AS kind FROM pairs JOIN results USING (market_id)")
+def m19_settled(v: Views) -> DataFrame:
+    return pricing.middle_settlements(_windows(v), _results(v)).select("market_id", F.col("threshold").alias("low"), F.col("threshold_b").alias("high"), "kind")
+
+
+@query("k14_limit_usage_at", VOID + """, moves AS (SELECT user_id, 'stake' AS kind, epoch_us(placed_at) AS t, -stake_minor AS amount FROM tickets UNION ALL SELECT user_id, 'settlement', fin, returned_minor FROM settled UNION ALL SELECT user_id, 'grant', epoch_us(placed_at) + 3600000000, 500 FROM tickets WHERE wager_id % 4 = 0),
+asks AS (SELECT wager_id, user_id, stake_minor, epoch_us(placed_at) AS t, unnest(['day', 'week', 'month']) AS period, placed_at FROM tickets),
+since AS (SELECT *, CASE period WHEN 'day' THEN t - 86400000000 WHEN 'week' THEN t - 604800000000 ELSE epoch_us(date_trunc('month', placed_at) - INTERVAL 1 MONTH) + (day(placed_at) - 1) * 86400000000 + (t - epoch_us(date_trunc('day', placed_at))) END AS since FROM asks),
+used AS (SELECT s.wager_id, s.period, any_value(s.stake_minor) AS stake, coalesce(-sum(amount) FILTER (WHERE kind = 'stake'), 0) AS staked, coalesce(-sum(amount) FILTER (WHERE kind <> 'grant'), 0) AS lost, coalesce(sum(amount) FILTER (WHERE kind = 'grant'), 0) AS granted FROM since s LEFT JOIN moves m ON m.user_id = s.user_id AND m.t BETWEEN s.since AND s.t GROUP BY ALL)
+SELECT wager_id, period, k.kind, CAST(CASE k.kind WHEN 'stake' THEN staked WHEN 'loss' THEN lost ELSE granted END AS BIGINT) AS used_minor, CASE k.kind WHEN 'stake' THEN staked + stake WHEN 'loss' THEN lost + stake ELSE granted END > CASE k.kind WHEN 'grant' THEN 400 ELSE 30000000 END AS breached FROM used, (SELECT unnest(['stake', 'loss', 'grant']) AS kind) k""")
+def k14_at(v: Views) -> DataFrame:
+    """Every ticket asks at its own instant for each kind and period; settlements count as losses, and every fourth ticket is granted credit an hour later."""
+    own = v.tickets
+    cancelled = v.games.filter("status = 'final'").withColumn("status", F.when(F.col("event_id") % 11 == 3, "cancelled").otherwise("final")).withColumn("fin", F.col("scheduled_start") + F.expr("INTERVAL 3 HOURS"))
+    graded = tickets.grade(v.legs.filter("wager_id % 13 <> 0"), cancelled, v.markets.filter("market_id % 5 = 0").select("market_id"), ("fin",))
+    done = graded.groupBy("wager_id").agg(F.max("fin").alias("fin"))
+    decided = tickets.decide(own, graded, v.legs.groupBy("wager_id").agg(F.count("*").alias("n_legs"))).join(done, "wager_id")
+    entry = lambda df, kind, at, amount: df.select("user_id", F.lit(kind).alias("kind"), F.lit("cash").alias("account_kind"), at.alias("placed_at"), amount.cast("long").alias("amount_minor"))
+    entries = entry(own, "stake", F.col("placed_at"), -F.col("stake_minor")).unionByName(entry(decided, "settlement", F.col("fin"), F.col("returned_minor")))
+    entries = entries.unionByName(entry(own.filter("wager_id % 4 = 0"), "grant", F.col("placed_at") + F.expr("INTERVAL 1 HOUR"), F.lit(500)))
+    each = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    asks = own.select("wager_id", "user_id", "stake_minor", "placed_at", each(tickets.PERIODS).alias("period")).select("*", each(tuple(tickets.LIMIT_KINDS)).alias("kind"))
+    asks = asks.select(F.concat_ws("/", "wager_id", "period", "kind").alias("ask_id"), "wager_id", "user_id", "kind", "period", F.col("placed_at").alias("at"), F.col("stake_minor").alias("requested_minor"), F.when(F.col("kind") == "grant", 400).otherwise(30_000_000).cast("long").alias("limit_minor"))
+    return tickets.limit_usage_at(asks, entries).select("wager_id", "period", "kind", "used_minor", "breached")
