@@ -129,3 +129,21 @@ def test_a_batch_is_published_once(spark, tmp_path):
     sinks.publish(found.limit(1), path, "ev", "market_id")
     rows = spark.read.parquet(path).collect()
     assert len(rows) == 5 and {r.kind for r in rows} == {"ev"}
+
+
+def test_identities(spark):
+    cols = "sport_key string, league_key string, book_key string, event_key string, market_key string, role string, subject string, name string"
+    base = ("basketball", "basketball_nba", "pinnacle", "e1", "h2h", "home", None, None)
+    alter = lambda **k: tuple(k.get(c.split()[0], v) for c, v in zip(cols.split(", "), base, strict=True))
+    rows = [base, alter(market_key="player_points", role="over", subject="Ann"), alter(market_key="player_points", role="over", subject="Bob"), alter(market_key="outrights", role="outright", name="Red"), alter(event_key="x" * 36), alter(event_key="a b"), alter(event_key=" "), alter(market_key=""), alter(sport_key="", league_key="america_nfl"), alter(market_key="m" * 28), alter(market_key="m" * 29), alter(role="outright"), alter(league_key="--Ünï  League_")]
+    got = raw.identities(spark.createDataFrame(rows, cols), "tx").collect()
+    h = lambda s: "h" + __import__("hashlib").sha256(s.encode()).hexdigest()[:12]
+    assert (got[0].sport_id, got[0].league_id, got[0].book_id, got[0].selection_id) == ("tx.s.basketball", "tx.l.basketball_nba", "tx.b.pinnacle", "tx.e.e1.m.h2h.x.home") and got[0].league_slug == "basketball_nba"
+    assert got[1].market_id == "tx.e.e1.m.player_points." + h("Ann") != got[2].market_id and got[1].selection_id == got[1].market_id + ".x.over"
+    assert got[3].selection_id == "tx.e.e1.m.outrights.x.outright." + h("Red")
+    assert (got[4].event_id, got[5].event_id, got[6].event_id, got[6].selection_id, got[7].market_id) == ("tx.e." + h("x" * 36), "tx.e." + h("a b"), None, None, None)
+    assert (got[8].sport_id, got[9].market_id, got[10].market_id, got[11].selection_id) == ("tx.s.america", "tx.e.e1.m." + "m" * 28, "tx.e.e1.m." + h("m" * 29), None)
+    assert got[12].league_slug == "n-league" and got[12].league_id == "tx.l." + h("--Ünï  League_")
+    two = spark.createDataFrame([("l", "e", "prop", "over", "Ann"), ("l", "e", "prop", "over", "Bob")], "league_id string, event_id string, market_type string, role string, subject string")
+    assert len({r.selection_key for r in raw.derive_ids(two, "tx").collect()}) == 2
+    assert spark.range(1).select(raw.slug(F.lit("america_nfl")).alias("s")).first().s == "america_nfl"

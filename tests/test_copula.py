@@ -39,6 +39,32 @@ def test_many_legs_against_drawn_normals():
     assert abs(copula.joint(np.full(3, 0.5), c)[0] - (0.125 + 3 * math.asin(0.5) / (4 * math.pi))) < 2e-4
 
 
+def test_array_kernels():
+    x = np.concatenate([np.linspace(-6, 6, 4001), [-50.0, 50.0, 0.0]])
+    assert np.abs(copula.phi_array(x) - copula._phi(x).astype(float)).max() < 1e-13
+    p = np.concatenate([np.linspace(1e-4, 1 - 1e-4, 999), [1e-9, 1 - 1e-9]])
+    assert np.abs(copula.quantile_array(p) - copula._quantile(p).astype(float)).max() < 1e-5
+    assert np.abs(copula.quantile_array(p[:-2]) - copula._quantile(p[:-2]).astype(float)).max() < 1e-9
+    assert np.isfinite(copula.quantile_array(np.array([0.0, 1.0]))).all()
+
+
+def test_no_price_without_convergence(monkeypatch):
+    monkeypatch.setattr(copula, "REL", 1e-12)
+    monkeypatch.setattr(copula, "ABS", 1e-15)
+    monkeypatch.setattr(copula, "MOST_BATCHES", 1)
+    c = np.full((3, 3), 0.5) + 0.5 * np.eye(3)
+    assert copula.joint(np.array([0.3, 0.5, 0.6]), c) == (None, False, "not_converged")
+
+
+def test_twenty_five_legs_within_seconds():
+    import time
+
+    start = time.time()
+    c = np.full((25, 25), 0.2) + 0.8 * np.eye(25)
+    got, exact, reason = copula.joint(np.full(25, 0.9), c)
+    assert reason is None and not exact and 0.9**25 < got < 0.9 and time.time() - start < 60
+
+
 def test_degenerate_and_refused():
     c = np.array([[1, 0.5, 0], [0.5, 1, 0], [0, 0, 1.0]])
     assert copula.joint(np.array([0.0, 0.5, 0.5]), c)[0] == 0.0

@@ -42,19 +42,59 @@ def normalize(parsed: DataFrame) -> DataFrame:
     return own.withColumn("reason", reason).drop("f", "mpos", "pos")
 
 
+#: Budgets of the parts of an identifier, in bytes; a part beyond its budget, or with a character that is not safe, is hashed.
+SHORT_KEY, EVENT_KEY, MARKET_KEY, SLUG = 40, 35, 28, 64
+
+
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower case; letters, digits and underscores stay, anything else between them becomes one dash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", "-"), "^[-_]+|[-_]+$", "")
+
+
+def hash_of(c: Column) -> Column:
+    """Twelve hex digits of the SHA-256."""
+    return F.substring(F.sha2(c.cast("binary"), 256), 1, 12)
 
 
 def token(c: Column, budget: int = 24) -> Column:
     """A safe token; what is unsafe or too long becomes twelve hex digits of its hash."""
-    return F.when(c.rlike(f"^[A-Za-z0-9_-]{{1,{budget}}}$"), c).otherwise(F.substring(F.sha2(c, 256), 1, 12))
+    return F.when(c.rlike(f"^[A-Za-z0-9_-]{{1,{budget}}}$"), c).otherwise(hash_of(c))
 
 
 def derive_ids(rows: DataFrame, provider: str) -> DataFrame:
-    """league_key, event_key, market_key and selection_key from provider, tag and tokens, joined by dots."""
+    """league_key, event_key, market_key and selection_key from provider, tag and tokens, joined by dots.
+
+    Where rows have a ``subject`` (a player of a prop, a runner), its hash ends the market's key, so props of two players are two markets.
+    """
     league = F.concat_ws(".", F.lit(provider), F.lit("l"), token(slug(F.col("league_id"))))
     event = F.concat_ws(".", F.lit(provider), F.lit("e"), token(F.col("event_id").cast("string")))
     own = rows.withColumns({"league_key": league, "event_key": event})
-    own = own.withColumn("market_key", F.concat_ws(".", "event_key", "market_type"))
+    subject = [hash_of(F.nullif(F.col("subject"), F.lit("")))] if "subject" in rows.columns else []
+    own = own.withColumn("market_key", F.concat_ws(".", "event_key", "market_type", *subject))
     return own.withColumn("selection_key", F.concat_ws(".", "market_key", "role"))
+
+
+def identities(rows: DataFrame, provider: str) -> DataFrame:
+    """Adds the identifiers of a provider's row: sport_id, league_id, book_id, event_id, market_id, selection_id, and league_slug.
+
+    Rows have sport_key, league_key, book_key, event_key, market_key, role, and subject (of a prop) and name (of an outright) or null. An identifier is provider, tag and
+    token, joined by dots; a market's begins with its event's and a selection's with its market's. A token outside its budget or with an
+    unsafe character is an h and its hash. The hash of its subject ends a prop's market, that of its name an outright's selection. An empty sport key is
+    the league key up to its first underscore. Identifiers without an event or market key are null.
+    """
+    def part(c: str, budget: int) -> Column:
+        own = F.coalesce(F.col(c), F.lit(""))
+        return F.when(own.rlike(f"^[A-Za-z0-9_-]{{1,{budget}}}$"), own).otherwise(F.concat(F.lit("h"), hash_of(own)))
+
+    tagged = lambda tag, c, budget: F.concat_ws(".", F.lit(provider), F.lit(tag), part(c, budget))
+    hashed = lambda c: F.concat(F.lit(".h"), hash_of(F.nullif(F.col(c), F.lit(""))))
+    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    own = rows.withColumn("sport_key", F.when(given("sport_key"), F.col("sport_key")).otherwise(F.regexp_extract("league_key", "^([^_]+)(?:_|$)", 1)))
+    event = F.when(given("event_key"), tagged("e", "event_key", EVENT_KEY))
+    own = own.withColumns({"sport_id": tagged("s", "sport_key", SHORT_KEY), "league_id": tagged("l", "league_key", SHORT_KEY), "book_id": tagged("b", "book_key", SHORT_KEY), "event_id": event})
+    own = own.withColumn("market_id", F.when(given("market_key"), F.concat(F.concat_ws(".", F.col("event_id"), F.lit("m"), part("market_key", MARKET_KEY)), F.coalesce(hashed("subject"), F.lit("")))))
+    own = own.withColumn("market_id", F.when(F.col("event_id").isNotNull(), F.col("market_id")))
+    name = F.when(F.col("role") == "outright", hashed("name")).otherwise("")  # an outright needs a name
+    own = own.withColumn("selection_id", F.when(F.col("market_id").isNotNull(), F.concat(F.concat_ws(".", F.col("market_id"), F.lit("x"), F.col("role")), name)))
+    short = F.regexp_replace(F.substring(slug(F.col("league_key")), 1, SLUG), "[-_]+$", "")
+    return own.withColumn("league_slug", F.when(short == "", F.concat(F.lit("h"), hash_of(F.col("league_key")))).otherwise(short))
