@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tickline.operators import tickets
-from tickline.plans import catalog, catalog2, catalog3, catalog4  # noqa: F401
+from tickline.plans import catalog, catalog2, catalog3, catalog4, catalog5  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

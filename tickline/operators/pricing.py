@@ -293,3 +293,21 @@ def middle_settlements(found: DataFrame, results: DataFrame) -> DataFrame:
     r = F.col("result")
     kind = F.when((r > F.col("threshold")) & (r < F.col("threshold_b")), "both_win").when((r == F.col("threshold")) | (r == F.col("threshold_b")), "win_push").otherwise("win_lose")
     return own.withColumn("kind", kind)
+
+
+def vig_contributions(books: DataFrame, attribution: str = "proportional") -> DataFrame:
+    """What each selection carries of its book's margin: implied, fair, excess, share and relative margin.
+
+    ``proportional`` scales all implied probabilities by their sum, ``uniform`` takes the same slice of the overround off each. A book of which
+    some fair probability would not be positive gives rows with the reason ``undefined`` and no numbers. In a fair book (within 1e-12) shares are 0.
+    """
+    s = O.compensated(F.transform("quotes", lambda x: 1 / x["odds"]))
+    own = books.select("market_id", "book_id", "quotes", s.alias("s"), F.size("quotes").alias("n"))
+    over = F.col("s") - 1
+    fair = (lambda q: q / F.col("s")) if attribution == "proportional" else (lambda q: q - over / F.col("n"))
+    own = own.withColumn("undefined", F.exists("quotes", lambda x: fair(1 / x["odds"]) <= 0))
+    own = own.select("market_id", "book_id", "s", "n", "undefined", F.explode("quotes").alias("x")).withColumn("implied", 1 / F.col("x.odds"))
+    q = fair(F.col("implied"))
+    own = own.withColumn("fair", F.when(~F.col("undefined"), q)).withColumn("excess", F.col("implied") - F.col("fair"))
+    share = F.when(F.abs(over) <= 1e-12, F.when(~F.col("undefined"), 0.0)).otherwise(F.col("excess") / over)
+    return own.select("market_id", "book_id", F.col("x.selection_id").alias("selection_id"), "implied", "fair", "excess", share.alias("share"), (F.col("excess") / F.col("fair")).alias("relative_margin"), F.when(F.col("undefined"), "undefined").alias("reason"))

@@ -200,3 +200,30 @@ def limit_usage_at(asks: DataFrame, entries: DataFrame) -> DataFrame:
     own = asks.withColumn("_ask", F.col("ask_id").cast("string")).join(used.withColumnRenamed("ask_id", "_ask"), "_ask").drop("_ask")
     own = own.withColumn("projected_minor", F.col("used_minor") + requested)
     return own.withColumn("breached", F.col("projected_minor") > F.col("limit_minor"))
+
+
+def transfers(moves: DataFrame, kind: str, source: str, target: str) -> DataFrame:
+    """Two entries for each move (user_id, amount_minor, placed_at and other columns): out of the source account kind, into the target's."""
+    row = lambda account, amount: F.struct(F.lit(account).alias("account_kind"), amount.alias("entry_minor"))
+    rows = F.explode(F.array(row(source, -F.col("amount_minor")), row(target, F.col("amount_minor")))).alias("e")
+    rest = [c for c in moves.columns if c != "amount_minor"]
+    return moves.select(*rest, F.lit(kind).alias("kind"), rows).select(*rest, "kind", "e.account_kind", F.col("e.entry_minor").alias("amount_minor"))
+
+
+def grant_entries(grants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of granted credit (from issuance to cash), and the grants refused for an amount that is not positive."""
+    fine = F.coalesce(F.col("amount_minor") > 0, F.lit(False))
+    return transfers(grants.filter(fine), "grant", "issuance", "cash"), grants.filter(~fine).withColumn("reason", F.lit("amount_not_positive"))
+
+
+def adjustment_entries(adjustments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of adjustments between two named accounts (``source``, ``target``), and the refused ones with a reason."""
+    known = ["cash", "escrow", "house", "issuance"]
+    ok = lambda c: F.coalesce(F.col(c).isin(known), F.lit(False))
+    reason = F.when(~(ok("source") & ok("target")), "unknown_account").when(F.col("source") == F.col("target"), "same_account").when(~F.coalesce(F.col("amount_minor") > 0, F.lit(False)), "amount_not_positive")
+    own = adjustments.withColumn("reason", reason)
+    fine = own.filter("reason IS NULL").drop("reason")
+    row = lambda account, amount: F.struct(F.col(account).alias("account_kind"), amount.alias("entry_minor"))
+    rest = [c for c in fine.columns if c not in ("amount_minor", "source", "target")]
+    rows = fine.select(*rest, F.explode(F.array(row("source", -F.col("amount_minor")), row("target", F.col("amount_minor")))).alias("e"))
+    return rows.select(*rest, F.lit("adjustment").alias("kind"), "e.account_kind", F.col("e.entry_minor").alias("amount_minor")), own.filter("reason IS NOT NULL")
