@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 _OWN_DIR: list[str] = []
 #: Longest text that a model is fitted on; all texts are scored whole.
 FIT_CHARS = 65_536
@@ -96,7 +98,10 @@ def slices(batch, rows: int = 512, most_bytes: int = 4_000_000, text: int = 1):
         total += n
     if len(sizes) > start:
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # what Arrow keeps of freed batches adds up in workers that live long
+    # what Arrow and the C library keep of freed memory adds up in workers that live long
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def _byte_sizes(column) -> list:
