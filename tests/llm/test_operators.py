@@ -332,6 +332,20 @@ def test_token_files(spark, docs, empty):
     assert tokenfiles.token_files(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_shards_start_where_the_ones_before_end(spark):
+    rng = np.random.default_rng(7)
+    rows = [(part, seq, f"{part}-{seq}", 1, int(rng.integers(1, 10**9))) for part in (0, 1, 4, 9) for seq in range(int(rng.integers(1, 30)))]
+    want, total = {}, 0
+    for _, _, path, _, n in rows:
+        want[path], total = total, total + n
+    rng.shuffle(rows)
+    schema = "part long, seq long, path string, docs long, n_ids long"
+    manifest = spark.createDataFrame([(int(a), int(b), str(c), int(d), int(e)) for a, b, c, d, e in rows], schema)
+    got = tokenfiles.placed(manifest)
+    assert {r.path: r.base for r in got.collect()} == want and got.count() == len(rows)
+    assert tokenfiles.placed(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_token_files_of_texts_with_special_tokens(spark):
     from tokenizers import Tokenizer
 

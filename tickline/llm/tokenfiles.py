@@ -281,11 +281,22 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     return stored(ordered.mapInArrow(run, "part long, seq long, path string, docs long, n_ids long"), "token-manifest")
 
 
+def placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with base: the ids of all shards before, in order of part and seq.
+
+    Sums by part come first, so the one order over everything has a row for each task that wrote files; shards add
+    up within their part. An empty manifest stays empty.
+    """
+    rows = (Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*rows)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*rows)), F.lit(0))
+    return manifest.withColumn("within", within).join(parts, "part").withColumn("base", F.col("before") + F.col("within"))
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    # a running sum over shards of millions of ids each, not over documents
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    shards = placed(manifest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
