@@ -1,6 +1,9 @@
 """The pipeline's stages keep the columns of documents, and each works on what the one before kept."""
 
+import hashlib
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tickline.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +41,26 @@ def test_stages_on_odd_rows(spark):
                 assert len(got) == n and not any(r.text and ("joe@" in r.text or "Smith" in r.text) for r in got)
             if n and name == "mixing":
                 assert all(r.text for r in got)
+
+
+def test_one_text_through_all_stages(spark):
+    """A clean document with a near copy: it passes, the copy goes, its personal data changes, and its tokens decode to what the mixing took."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = dict(corpus_pipeline.STAGES)["quality"](spark, docs, SF)
+    x, y = good.filter("length(text) - length(replace(text, ' ', '')) BETWEEN 60 AND 400").orderBy("doc_id").limit(2).collect()
+    halves = x.text.split()[: len(x.text.split()) // 2] + y.text.split()[len(y.text.split()) // 2 :]
+    text = " ".join(halves) + " Mrs. Ada Lovelace wrote to ada@lovelace.org"
+    first, copy = 10**9, 10**9 + 1
+    own = docs.filter(F.col("doc_id") == x.doc_id)
+    rows = [own.withColumn("doc_id", F.lit(i).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit(t)) for i, t in ((first, text), (copy, text + " today"))]
+    now, at = docs.unionByName(rows[0]).unionByName(rows[1]), {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stored(stage(spark, now, SF), f"follow-{name}")
+        at[name] = now.filter(F.col("doc_id").isin(first, copy)).collect()
+    assert {r.doc_id for r in at["quality"]} == {first, copy}
+    assert [(r.doc_id, r.text) for r in at["near_duplicates"]] == [(first, text)]
+    (changed,) = at["surrogates"]
+    assert changed.text.startswith(" ".join(halves)) and " Mrs. " in changed.text and "Lovelace" not in changed.text and "ada@" not in changed.text
+    taken = [r.text for r in at["mixing"]]
+    assert taken and all(changed.text.startswith(t) for t in taken)
+    assert sorted(r.decoded_sha256 for r in at["tokens"]) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in taken)
