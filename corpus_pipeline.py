@@ -44,7 +44,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode the texts: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    return bpe.token_digests(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # the stages before have filled the executors' heap, so workers get by with less memory than alone
+    return bpe.token_digests(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, part=4)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -244,6 +244,20 @@ def test_bpe(spark, docs, empty):
     assert len(got) == docs.count() and bpe.token_digests(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_in_smaller_queries():
+    """``part`` bounds what a query meets and changes no result; the pipeline's stage asks for it."""
+    import random
+
+    path, draw = P.path("byte_bpe_50k.tiktoken"), random.Random(2)
+    texts = [" ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 12))) for _ in range(400)) for _ in range(400)]
+    one, own, sizes = bpe.Encoder(path, P.PATTERN), bpe.Encoder(path, P.PATTERN, part=8), []
+    learn = own._learn
+    own._learn = lambda pieces, long: (sizes.append((len(pieces), sum(map(len, pieces)))), learn(pieces, long))[1]
+    ids = own.encode(texts)
+    assert len(sizes) > 8 and all(n <= bpe.PIECES_A_QUERY // 8 and b <= bpe.BYTES_A_QUERY // 8 for n, b in sizes)
+    assert all((a == b).all() for a, b in zip(ids, one.encode(texts), strict=True)) and own.decoded_hashes(ids) == one.decoded_hashes(ids)
+
+
 def test_bpe_of_long_pieces():
     """Pieces of up to 20,000 bytes give the library's ids, and one of a million bytes is done in a few steps."""
     import random

@@ -155,13 +155,17 @@ PIECES_A_QUERY, BYTES_A_QUERY, IDS_A_QUERY = 60_000, 1_000_000, 700_000
 
 
 class Encoder:
-    """One task's database, and the ids of the pieces it has met (up to ``keep``)."""
+    """One task's database, and the ids of the pieces it has met (up to ``keep``).
 
-    def __init__(self, path: str, pattern: str, keep: int = KEEP):
+    ``part`` makes the queries so many times smaller, and with them the memory that they take.
+    """
+
+    def __init__(self, path: str, pattern: str, keep: int = KEEP, part: int = 1):
         import duckdb
         import regex
 
         self.keep = keep
+        self.most_pieces, self.most_bytes, self.most_ids = (n // part for n in (PIECES_A_QUERY, BYTES_A_QUERY, IDS_A_QUERY))
         self.tokens = read_ranks(path)
         self.rank = {t: i for i, t in enumerate(self.tokens)}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
@@ -208,7 +212,7 @@ class Encoder:
             for i, d in enumerate(data):
                 if (len(d) > SHORT) != long:
                     continue
-                if some and (len(some) >= PIECES_A_QUERY or total + len(d) > BYTES_A_QUERY):
+                if some and (len(some) >= self.most_pieces or total + len(d) > self.most_bytes):
                     at.append((some, *self._learn([data[k] for k in some], long)))
                     some, total = [], 0
                 some.append(i)
@@ -243,7 +247,7 @@ class Encoder:
 
     def decoded_hashes(self, ids: list[np.ndarray]) -> list[str]:
         """SHA-256 of each id sequence's bytes, which the database puts together in order, some sequences a query."""
-        if len(ids) > 1 and sum(map(len, ids)) > IDS_A_QUERY:
+        if len(ids) > 1 and sum(map(len, ids)) > self.most_ids:
             return self.decoded_hashes(ids[: len(ids) // 2]) + self.decoded_hashes(ids[len(ids) // 2 :])
         n = np.array([len(x) for x in ids])
         flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
@@ -260,9 +264,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, pattern: str, keep: int = KEEP) -> Encoder:
+def encoder(path: str, pattern: str, keep: int = KEEP, part: int = 1) -> Encoder:
     """This Python worker's encoder; later tasks of the worker use it too."""
-    return Encoder(path, pattern, keep)
+    return Encoder(path, pattern, keep, part)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -277,19 +281,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, keep: int = KEEP) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, pattern: str, keep: int = KEEP, part: int = 1) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids.
 
-    ``keep`` bounds the pieces that a worker keeps (about 250 bytes each), not what it encodes.
+    ``keep`` bounds the pieces that a worker keeps (about 250 bytes each), not what it encodes; ``part`` makes its queries smaller.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2048, 8_000_000):
-                own = encoder(path, pattern, keep)
-                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
+            for rows in slices(batch, 2048, 8_000_000):
+                own = encoder(path, pattern, keep, part)
+                ids = own.encode([t or "" for t in rows.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                    rows.column(0), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([own.id_hash(x) for x in ids], pa.string()), pa.array(own.decoded_hashes(ids), pa.string()),
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

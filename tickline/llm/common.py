@@ -18,10 +18,10 @@ FIT_CHARS = 65_536
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB instead of Spark's 64 (rows are texts, and JVM and worker each hold a batch or two); a size of the user's own stays."""
+    """Arrow batches of 4 MB instead of Spark's 64 (rows are texts, and JVM and worker each hold a batch or two); a size of the user's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":
-        spark.conf.set(key, "8388608b")
+        spark.conf.set(key, "4194304b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
