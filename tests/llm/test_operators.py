@@ -372,6 +372,30 @@ def test_token_files_of_texts_with_special_tokens(spark):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
 
 
+def test_library_encoder_meets_a_word_once():
+    """Batches of plain and odd texts have the library's ids; a word goes through its merges once, whatever signs stand behind it."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, lib = tokenfiles.LibraryEncoder(P.path("byte_bpe_50k.json"), most=3000), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    met, merge = [], own.merge
+    own.merge = lambda word: (met.append(word), merge(word))[1]
+    own.encode(pa.array(["plain words plain, words. plain! (words)", "x words, plain"]))
+    assert sorted(met) == sorted(["plain", "\u0120plain", "\u0120words", "x"])
+    draw = random.Random(3)
+    bits = ["word", "Wort", "straße", "日本", "don't", "a1", "...", "x,", "(y)", "\u0301", "é", "_", "10%", "мир!", "<|endoftext|>", "\t", "\n", "\n\n", "  ", "\r", "\u00a0", "\x00"]
+    texts = [None, "", " ", "\n", "!", "\r", "a\n!b"] + ["".join(draw.choice(bits[: draw.choice((14, 22))]) + draw.choice((" ", " ", "\n", "")) for _ in range(draw.randint(1, 40))).strip(" \n") for _ in range(4000)]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        ids, ends = own.encode(pa.array(part, pa.string()))
+        want = [[*lib.encode(t or "", add_special_tokens=False).ids, tokenfiles.END] for t in part]
+        assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist() and ids.tolist() == [i for w in want for i in w]
+    none, stop = own.encode(pa.array([], pa.string()))
+    assert len(none) == len(stop) == 0
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     docs = [np.append(rng.choice([5, 6, 7, 50_000], n), 0).astype(np.uint16) for n in (0, 1, 900, 3000, 7, 7)] + [np.full(500, 9, np.uint16)]

@@ -24,10 +24,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickline.llm.common import Memo, shared_dir, stored
+from tickline.llm.common import Memo, shared_dir, slices, stored
 
 MAGIC = b"TKRP0001"
 FIRST, LAST, PER_ROUND, RARE = 50_257, 65_536, 5_000, 12
@@ -38,11 +39,13 @@ SHARD_IDS = 4_000_000
 #: Most tasks that read shards back; each reads its shards one after the other.
 READERS = 20_000
 END = 0
+#: Stands where no pair may be counted; the last number is no symbol while rules are made.
+NO_PAIR = np.uint32(0xFFFFFFFF)
 
 
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-#: White space other than the space and the line end.
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space other than single spaces and line ends within a text, or no text at all.
+_APART = "\\A\\z|  | \n|\n |\n\n|\\A[ \n]|[ \n]\\z|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class LibraryEncoder:
@@ -50,60 +53,84 @@ class LibraryEncoder:
 
     The split pattern never joins white space with what precedes it unless that is white space too. So where a
     text's white space is single spaces and line ends, its ids are those of its stretches, each with its space,
-    and every distinct stretch goes through the library once while it is kept. Texts that name a special token go
-    through the library whole.
+    and every distinct stretch goes through the library once while it is kept; a word's signs are put behind the word's
+    own ids. Arrow cuts a batch of texts and tells its distinct stretches, so that Python meets each once a batch. Texts
+    that name a special token go through the library whole.
     """
 
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.merge = self.lib.model.tokenize
         self.most = most
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.apart = "|".join([_APART, *(re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values())])
         # the library's own byte alphabet, as its pre-tokenizer maps bytes
-        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in printed]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(rest)}
+        printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.alphabet = [chr(b if b in printed else next(rest)) for b in range(256)]
         self.signs = Memo(lambda t: self.lib.encode(t, add_special_tokens=False).ids, 10_000)
         self.forget()
 
     def forget(self) -> None:
-        self.rows, self.ids, self.ends = Memo(self._learn, 1 << 62), array("H"), array("q", [0])
-
-    def _learn(self, key: str) -> int:
-        """Encode a stretch: ``key`` follows a space, or a line end that it begins with, or (return) begins a text."""
-        lead = key[0] if key[0] in "\n\r" else ""
-        word = key[len(lead) :].rstrip(SIGNS)
-        if word.isalpha():  # a match of the pattern: straight to the library's merges; signs behind it are a match too
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-            ids = self.signs["\n"] if lead == "\n" else []
-            ids = ids + [t.id for t in self.lib.model.tokenize(mapped if lead else "\u0120" + mapped)] + self.signs[key[len(lead) + len(word) :]]
-        else:
-            ids = self.lib.encode(key[1:] if lead == "\r" else key if lead else " " + key, add_special_tokens=False).ids
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        return len(self.ends) - 2
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.rows, self.ids, self.ends = {}, array("H"), array("q", [0])
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encode stretches: a key follows a space, or a line end that it begins with, or (return) begins a text; a return alone ends one."""
+        rows, ids, ends, merge, byte = self.rows, self.ids, self.ends, self.merge, self.alphabet.__getitem__
+        for key in keys:
+            if key in rows:  # a word that came with signs before
+                continue
+            lead = key[0] if key[0] in "\n\r" else ""
+            if key.isalpha():
+                word, behind = key, ""
+            else:
+                word = key[len(lead) :].rstrip(SIGNS)
+                behind = key[len(lead) + len(word) :]
+            if key == "\r":
+                ids.append(END)
+            elif not word.isalpha():
+                ids.extend(self.lib.encode(key[1:] if lead == "\r" else key if lead else " " + key, add_special_tokens=False).ids)
+            elif lead or word not in rows:  # a match of the pattern: straight to the library's merges; signs behind it are a match too
+                if lead == "\n":
+                    ids.extend(self.signs["\n"])
+                mapped = word if word.isascii() else "".join(map(byte, word.encode()))
+                ids.extend([t.id for t in merge(mapped if lead else "\u0120" + mapped)])
+                if behind and not lead:
+                    ends.append(len(ids))
+                    rows[word] = row = len(ends) - 2
+                    ids.extend(ids[ends[row] : ends[row + 1]])
+            else:
+                row = rows[word]
+                ids.extend(ids[ends[row] : ends[row + 1]])
+            if behind and word.isalpha():
+                ids.extend(self.signs[behind])
+            ends.append(len(ids))
+            rows[key] = len(ends) - 2
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts (null: empty), each with the end id behind it, and where each text's end."""
         if len(self.rows) > self.most:
             self.forget()
-        rows = []
-        for t in texts:
-            if t == "" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n" or _RARE_SPACE.search(t) or any(a in t for a in self.added):
-                rows.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint16))
-                continue
-            parts = t.replace("\n", " \n").split(" ")
-            parts[0] = "\r" + parts[0]
-            rows.append(np.fromiter(map(self.rows.__getitem__, parts), np.int64, len(parts)))
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self.apart)
+        own = texts.filter(pc.invert(whole))
+        parts = pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(own, "\n", " \n"), " \r", ""), " ")
+        words = parts.flatten().dictionary_encode()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([k for k in keys if k not in self.rows])
+        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
         ids, ends = np.frombuffer(self.ids, np.uint16), np.frombuffer(self.ends, np.int64)
-        out = []
-        for row in rows:
-            if row.dtype == np.int64:
-                n = ends[row + 1] - ends[row]
-                to = np.cumsum(n)
-                row = ids[np.repeat(ends[row] - to + n, n) + np.arange(to[-1])]
-            out.append(row)
-        return out
+        at = words.indices.to_numpy()
+        n = (ends[row + 1] - ends[row])[at]
+        to = np.cumsum(n)
+        flat = ids[np.repeat(ends[row][at] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+        stop = to[parts.offsets.to_numpy()[1:] - 1] if len(own) else np.zeros(0, np.int64)
+        if len(own) == len(texts):
+            return flat, stop
+        fast = iter(np.split(flat, stop[:-1]))
+        out = [np.array([*self.lib.encode(t.as_py(), add_special_tokens=False).ids, END], np.uint16) if w else next(fast) for t, w in zip(texts, whole.to_pylist(), strict=True)]
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -127,7 +154,9 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         inside[ends[:-1] - 1] = False
         same = np.flatnonzero(inside & (s[:-1] == s[1:]))  # places of one pair that overlap: every second counts, from the left
         inside[same[_odd(same)]] = False
-        every = np.sort(pair[inside])
+        pair[~inside] = NO_PAIR
+        every = np.sort(pair)
+        every = every[: np.searchsorted(every, NO_PAIR)]
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
         count = np.diff(first, append=len(every))
         top = count.max(initial=0)
@@ -136,12 +165,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         hot = np.flatnonzero(count >= max(RARE, top // NEAR_TOP))
         hot = hot[np.argsort(-count[hot], kind="stable")[: min(PER_ROUND, LAST - made)]]
         best, hot = every[first[hot[0]]], np.sort(every[first[hot]])
-        hit, rule = _places(pair, inside, hot)
+        hit, rule = _places(pair, hot)
         hit, rule = (x[~_odd(hit)] for x in (hit, rule))  # of overlapping places every second goes
         used = np.bincount(rule, minlength=len(hot)) >= RARE
         if not used.any():  # neighbours took each other's places: the most frequent pair alone
             hot, used = np.array([best]), np.ones(1, bool)
-            hit, rule = _places(pair, inside, hot)
+            hit, rule = _places(pair, hot)
         hit, rule = (x[used[rule]] for x in (hit, rule))
         s[hit] = np.uint32(made) + (np.cumsum(used) - 1).astype(np.uint32)[rule]
         stay = np.ones(len(s), bool)
@@ -156,17 +185,25 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _odd(at: np.ndarray) -> np.ndarray:
     """Which of ascending places are the second, fourth, ... of a run without gaps."""
-    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    return (at - np.repeat(at[run], np.diff(run, append=len(at)))) % 2 == 1
-
-
-def _places(pair: np.ndarray, inside: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs in ``hot`` (sorted), and which pair each holds; the slots only spare most of the searches."""
-    live = np.zeros(1 << SLOT_BITS, bool)
-    live[hot * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)] = True
-    at = np.flatnonzero(live[pair * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)] & inside)
-    which = np.minimum(np.searchsorted(hot, pair[at]), len(hot) - 1)
-    own = hot[which] == pair[at]
+    out = np.zeros(len(at), bool)
+    behind = np.flatnonzero(at[1:] == at[:-1] + 1) + 1  # places behind another; few have any
+    run = np.flatnonzero(np.diff(behind, prepend=-2) != 1)
+    out[behind[(behind - np.repeat(behind[run], np.diff(run, append=len(behind)))) % 2 == 0]] = True
+    return out
+
+
+def _places(pair: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in ``hot`` (sorted), and which pair each holds; a slot names its pair, and pairs of one slot are searched."""
+    slot = hot * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)
+    named = np.zeros(1 << SLOT_BITS, np.uint16)
+    named[slot] = np.arange(1, len(hot) + 1)
+    named[slot[named[slot] != np.arange(1, len(hot) + 1)]] = len(hot) + 1
+    which = named[pair * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)]
+    at = np.flatnonzero(which)
+    found, which = pair[at], which[at].astype(np.int64) - 1
+    shared = np.flatnonzero(which == len(hot))
+    which[shared] = np.minimum(np.searchsorted(hot, found[shared]), len(hot) - 1)
+    own = hot[which] == found
     return at[own], which[own]
 
 
@@ -253,26 +290,30 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         names: list = []
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, held, total, seq
+            nonlocal names, held, sizes, total, seq
             path = f"{root}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.tok"
             with fs.open_output_stream(path) as out:
-                out.write(to_bytes(names, np.concatenate(held), np.cumsum([len(h) for h in held])))
+                out.write(to_bytes(names, np.concatenate(held), np.cumsum(np.concatenate(sizes))))
             row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "docs": len(names), "n_ids": total}])
-            names, held, total, seq = [], [], 0, seq + 1
+            names, held, sizes, total, seq = [], [], [], 0, seq + 1
             return row
 
-        end = np.array([END], np.uint16)
         fs.create_dir(root, recursive=True)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder(tokenizer).encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
-                    names.append(doc)
-                    held.append(np.concatenate([ids, end]))
-                    total += len(ids) + 1
+            for piece in slices(batch, 4096, 4_000_000):
+                ids, ends = encoder(tokenizer).encode(piece.column(1))
+                k, done = 0, 0
+                while k < piece.num_rows:  # a shard ends with the document that fills it
+                    n = min(int(np.searchsorted(ends, done + SHARD_IDS - total)) + 1, piece.num_rows)
+                    names += piece.column(0).slice(k, n - k).to_pylist()
+                    held.append(ids[done : ends[n - 1]])
+                    sizes.append(np.diff(ends[k:n], prepend=done))
+                    total += int(ends[n - 1]) - done
+                    k, done = n, int(ends[n - 1])
                     if total >= SHARD_IDS:
                         yield flush()
         if names:
