@@ -421,6 +421,79 @@ def test_grammar_leaves_no_frequent_pair():
     assert all((a == b).all() for a, b in zip(shard.all_ids(), docs, strict=True)) and (shard.ids(7) == docs[7]).all()
 
 
+def test_grammar_rounds_handle_what_they_replace(monkeypatch):
+    """A round of rules lists and sorts the places it replaces and their neighbours, not the shard again."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(1, 300, rng.integers(1, 7)) for _ in range(4000)]
+    docs = [np.concatenate([*(words[i] for i in np.minimum(rng.zipf(1.3, 200), 4000) - 1), [0]]).astype(np.uint16) for _ in range(100)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    handled, sort, listed = [], np.sort, getattr(tokenfiles, "_listed", None)
+    monkeypatch.setattr(np, "sort", lambda x, *a, **b: (handled.append(len(x)), sort(x, *a, **b))[1])
+    monkeypatch.setattr(tokenfiles, "_listed", lambda pair, at: (handled.append(len(pair)), listed(pair, at))[1], raising=False)
+    s, _, rules = tokenfiles.compress(ids, ends)
+    assert len(rules) > 300 and len(s) < len(ids) / 2
+    assert sum(handled) < 5 * len(ids), sum(handled) / len(ids)
+
+
+def test_grammar_equals_plain_rounds():
+    """Symbols, ends and rules equal rounds that count every pair anew, also where places overlap in runs and chains."""
+    T = tokenfiles
+
+    def plain(docs):
+        docs, rules, made = [list(map(int, d)) for d in docs], [], T.FIRST
+        while made < T.LAST:
+            where = []  # document, place and pair, of overlapping equal pairs every second left out
+            for k, d in enumerate(docs):
+                for i in range(len(d) - 1):
+                    if not (where and where[-1] == (k, i - 1, (d[i], d[i + 1]))):
+                        where.append((k, i, (d[i], d[i + 1])))
+            count = Counter(p for _, _, p in where)
+            top = max(count.values(), default=0)
+            if top < T.RARE:
+                break
+            hot = sorted((p for p in count if count[p] >= max(T.RARE, top // T.NEAR_TOP)), key=lambda p: (-count[p], p))[: min(T.PER_ROUND, T.LAST - made)]
+            best, hit = hot[0], []
+            for k, i, p in where:
+                if p in hot and not (hit and hit[-1][:2] == (k, i - 1)):
+                    hit.append((k, i, p))
+            n = Counter(p for _, _, p in hit)
+            used = sorted(p for p in hot if n[p] >= T.RARE)
+            if not used:
+                used, hit = [best], [x for x in where if x[2] == best]
+            for k, i, p in reversed(hit):
+                if p in used:
+                    docs[k][i : i + 2] = [made + used.index(p)]
+            rules, made = rules + used, made + len(used)
+        return docs, rules
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        most, docs = int(rng.integers(2, 30)), []
+        for kind in rng.integers(0, 4, rng.integers(1, 25)):
+            drawn = rng.integers(0, most, rng.integers(0, 80))
+            docs.append(np.append([drawn, np.full(len(drawn), 1), np.tile(drawn[:5], 12), np.repeat(drawn[:30], 3)][kind], 0).astype(np.uint16))
+        s, to, rules = T.compress(np.concatenate(docs), np.cumsum([len(d) for d in docs]))
+        want, want_rules = plain(docs)
+        assert s.tolist() == [x for d in want for x in d] and to.tolist() == np.cumsum([len(d) for d in want]).tolist()
+        assert [tuple(r) for r in rules.tolist()] == want_rules
+
+
+def test_encoder_keeps_words_without_their_signs():
+    """However many signs stand behind a word, it is kept once; all that is kept is bounded; either width of Arrow strings gives the same ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, lib = tokenfiles.LibraryEncoder(P.path("byte_bpe_50k.json"), most=200), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"{w}{'!' * k}{'?' * (k % 3)}" for w in ("word", "straße", "мир")) + "\nword" + ")" * k for k in range(100)] + ["!", ", word", "", None]
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, tokenfiles.END] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        ids, ends = own.encode(pa.array(texts, kind))
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert sorted(own.words) == sorted(["\rword", "\nword", "word", "straße", "мир"])
+    own.encode(pa.array(["plain " + "#" * 5]))
+    assert len(own.words) + len(own.others) + len(own.signs) < 10, "signs count too for what is kept"
+
+
 def test_classifiers_on_held_out_rows(spark):
 
     base = "/root/testdata/sf0.01"

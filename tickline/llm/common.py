@@ -87,8 +87,8 @@ class Memo(dict):
         return value
 
 
-def slices(batch, rows: int = 512, most_bytes: int = 4_000_000, text: int = 1):
-    """Cut an Arrow record batch into pieces of few rows and few text bytes (a single longer row stays whole)."""
+def slices(batch, rows: int = 512, most_bytes: int = 4_000_000, text: int = 1, trim: bool = True):
+    """Cut an Arrow record batch into pieces of few rows and few text bytes (a single longer row stays whole); then memory is given back, unless the caller does that."""
     sizes = [0 if n is None else n for n in _byte_sizes(batch.column(text))]
     start, total = 0, 0
     for i, n in enumerate(sizes):
@@ -98,7 +98,12 @@ def slices(batch, rows: int = 512, most_bytes: int = 4_000_000, text: int = 1):
         total += n
     if len(sizes) > start:
         yield batch.slice(start)
-    # what Arrow and the C library keep of freed memory adds up in workers that live long
+    if trim:
+        give_back()
+
+
+def give_back() -> None:
+    """What Arrow and the C library keep of freed memory adds up in workers that live long."""
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
