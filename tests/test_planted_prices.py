@@ -45,6 +45,19 @@ def test_sums_of_one_but_for_last_digits_are_left_alone(spark):
     assert sum(raw) != 1 and row.q == raw
 
 
+@pytest.fixture(scope="module")
+def gate(spark, tmp_path_factory):
+    # of 60^3 prices (reference's two, challenger's one) only this and one more lie a last digit below the gate of one per cent
+    lines = [(3, 0, 0, 2.04, 1, 1000, None), (3, 1, 0, 2.02, 2, 1000, None), (3, 0, 2, 2.03, 3, 1000, None), (3, 1, 2, 1.80, 4, 1000, None)]
+    return Planted(spark, tmp_path_factory.mktemp("gate"), lines)
+
+
+@pytest.mark.parametrize("name", ["a12_reason_counters_all"])
+def test_a_price_at_the_gate(gate, name):
+    ours, theirs = gate.both(name)
+    assert ours == theirs
+
+
 def test_a_cash_out_at_a_whole_unit(spark, tmp_path):
     # pays 3026; a fair chance of 0.5132... makes it 1552.9999999999998, which truncates to 1552
     ours, theirs = Planted(spark, tmp_path, [(3, 0, 0, 1.70, 1, 1000, None), (3, 1, 0, 1.78, 2, 1000, None), (3, 0, 2, 1.78, 3, 1700, 2)]).both("k13_cash_out_value_all")
