@@ -73,7 +73,7 @@ def sides(spark, tmp_path_factory):
     return Planted(spark, tmp_path_factory.mktemp("sides"), lines)
 
 
-ONE_SIDED = ["a5_user_clv_aggregate", "c5_clv_measure", "c6_clv_reasons"]
+ONE_SIDED = ["a5_user_clv_aggregate", "a6_user_clv_by_league", "c5_clv_measure", "c6_clv_reasons"]
 
 
 @pytest.mark.parametrize("name", ONE_SIDED)
