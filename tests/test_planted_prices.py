@@ -73,7 +73,7 @@ def sides(spark, tmp_path_factory):
     return Planted(spark, tmp_path_factory.mktemp("sides"), lines)
 
 
-ONE_SIDED = ["a5_user_clv_aggregate", "a6_user_clv_by_league", "c5_clv_measure", "c6_clv_reasons"]
+ONE_SIDED = ["a5_user_clv_aggregate", "a6_user_clv_by_league", "a7_clv_aggregate_compensated", "c3_clv_complete_coherent", "c4_clv_devig_both", "c5_clv_measure", "c5_clv_measure_all", "c6_clv_reasons", "c6_clv_reasons_all", "c7_clv_pass", "j14_leaderboard_join"]
 
 
 @pytest.mark.parametrize("name", ONE_SIDED)
