@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickline.functions import odds as O
+from tickline.operators import tickets
 from tickline.plans import catalog, catalog2, catalog3, catalog4, catalog5  # noqa: F401
 
 
@@ -80,3 +81,12 @@ ONE_SIDED = ["a5_user_clv_aggregate", "a6_user_clv_by_league", "a7_clv_aggregate
 def test_a_market_of_one_side_has_no_closing_line_value(sides, name):
     ours, theirs = sides.both(name)
     assert ours == theirs and theirs
+
+
+def test_removed_legs_divide_out_at_once(spark):
+    """100 at 1.77, 2.01 and 2.25 without the last two pays 177, in whatever order prices are multiplied; one division after the other gave 176."""
+    own = spark.createDataFrame([(1, 1, 100, "toward_zero", "1996-01-01")], "wager_id long, user_id long, stake_minor long, rounding string, placed_at string")
+    legs = [(1, 1, 1.77, "won"), (1, 2, 2.01, "push"), (1, 3, 2.25, "push")]
+    graded = spark.createDataFrame(legs, "wager_id long, selection_id long, odds double, result string")
+    row = tickets.decide(own, graded, spark.createDataFrame([(1, 3)], "wager_id long, n_legs long")).first()
+    assert (row.status, row.returned_minor) == ("won", 177)
