@@ -162,9 +162,8 @@ m AS (SELECT l.leg_id, l.user_id, l.taken_at, CASE WHEN status IN ('scheduled',
 CLV_COLUMNS = "round(qt, 7) AS taken_fair, round(qc, 7) AS closing_fair, round(qc - qt, 7) AS probability_clv, round(abs(qc - qt), 7) AS magnitude, line_moved"
 
 
-def _measured(v: Views, legs: DataFrame | None = None) -> DataFrame:
-    n = v.quotes.groupBy("market_id").agg(F.countDistinct("selection_id").alias("n_selections"))
-    return clv.measure(_legs(v) if legs is None else legs, v.quotes, v.suspensions, n, BACK, full=True)
+def _measured(v: Views, legs: DataFrame | None = None, *more: str) -> DataFrame:
+    return clv.measure(_legs(v) if legs is None else legs, v.quotes, v.suspensions, None, BACK, full=True, more=more)
 
 
 def _clv_row(df: DataFrame) -> DataFrame:
@@ -216,7 +215,7 @@ def c7(v: Views) -> DataFrame:
 
 @query("a7_clv_aggregate_compensated", FULL + " SELECT user_id, count(*) AS counted, round(avg(qc - qt), 9) AS mean_probability_clv, round(avg((qc / qt - 1) * 100), 7) AS mean_percent_clv FROM m WHERE reason IS NULL AND NOT line_moved GROUP BY user_id")
 def a7(v: Views) -> DataFrame:
-    own = _measured(v).filter("reason IS NULL").join(v.legs.select("leg_id", "wager_id"), "leg_id").join(v.tickets.select("wager_id", "user_id"), "wager_id")
+    own = _measured(v, None, "wager_id").filter("reason IS NULL").join(v.tickets.select("wager_id", "user_id"), "wager_id")
     return clv.compensated_means(own, "user_id").select("user_id", "counted", r("mean_probability_clv", 9).alias("mean_probability_clv"), r("mean_percent_clv", 7).alias("mean_percent_clv"))
 
 
