@@ -90,3 +90,15 @@ def test_removed_legs_divide_out_at_once(spark):
     graded = spark.createDataFrame(legs, "wager_id long, selection_id long, odds double, result string")
     row = tickets.decide(own, graded, spark.createDataFrame([(1, 3)], "wager_id long, n_legs long")).first()
     assert (row.status, row.returned_minor) == ("won", 177)
+
+
+@pytest.mark.parametrize("name", ["c5_clv_measure", "c5_clv_measure_all", "c6_clv_reasons_all"])
+def test_quotes_and_legs_are_dealt_three_times(spark, sides, name):
+    """Lines are dealt by market as quotes, by ticket as legs, and by market as legs; small tables besides (it was over twice as many exchanges)."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, sides.path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 9
