@@ -94,7 +94,7 @@ def test_removed_legs_divide_out_at_once(spark):
 
 @pytest.mark.parametrize("name", ["c5_clv_measure", "c5_clv_measure_all", "c6_clv_reasons_all"])
 def test_quotes_and_legs_are_dealt_three_times(spark, sides, name):
-    """Lines are dealt by market as quotes, by ticket as legs, and by market as legs; small tables besides (it was over twice as many exchanges)."""
+    """Lines are dealt by market as quotes, by ticket as legs, and by market as legs; small tables besides (30 exchanges before)."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
